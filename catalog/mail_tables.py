@@ -7,7 +7,10 @@ Message ids stay unique at any scale: even for documents, odd for pages.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DOC_MAILS = r"""
 SELECT 2 * d.doc_id AS msg_id, d.source AS dataset_source,
@@ -35,6 +38,70 @@ FROM pages
 
 ALL_MAILS = f"{DOC_MAILS} UNION ALL {PAGE_MAILS}"
 
+# The seven corpora in column shapes of their own; ``msg_id`` rides along for checks.
+CORPUS_SHAPES = {
+    "CEAS_08": r"""
+SELECT 2 * d.doc_id AS msg_id, regexp_extract(d.text, '^([^.!?\n]*)', 1) AS subject,
+       d.text AS body, CAST(l.toxic AS STRING) AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""",
+    "Enron": r"""
+SELECT conv_id * 1000 + turn AS msg_id, role AS Subject, text AS Message,
+       CASE role WHEN 'user' THEN 'ham' ELSE 'spam' END AS Spam
+FROM conversations
+""",
+    "Ling": r"""
+SELECT d.doc_id AS msg_id, d.text AS text,
+       CASE l.quality WHEN 0 THEN 'Spam' ELSE ' legit' END AS spamclass
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""",
+    "Nazario": "SELECT item_id AS msg_id, text AS body FROM benchmark",
+    "Nigerian_Fraud": "SELECT page_id AS msg_id, url AS subject, html AS message FROM pages",
+    "phishing_email": r"""
+SELECT d.doc_id AS msg_id, d.text AS text_combined,
+       CASE l.toxic WHEN 1 THEN '1.0' ELSE '0.0' END AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""",
+    "SpamAssasin": r"""
+SELECT d.doc_id AS msg_id, d.source AS subject, d.text AS text,
+       CASE l.toxic WHEN 1 THEN 'TRUE ' WHEN 0 THEN ' No' END AS v1
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""",
+}
+ENRON_BAD = r"""
+SELECT conv_id * 1000 + turn AS msg_id, role AS Subject, text AS Message,
+       CASE role WHEN 'user' THEN 'ham' WHEN 'assistant' THEN 'spam' ELSE 'unsure' END AS Spam
+FROM conversations
+"""
+
+RAW_LABELS = r"""
+SELECT doc_id, CASE doc_id % 11
+         WHEN 0 THEN ' Spam ' WHEN 1 THEN 'HAM' WHEN 2 THEN '1.0' WHEN 3 THEN '0'
+         WHEN 4 THEN 'Yes' WHEN 5 THEN 'benign' WHEN 6 THEN 'maybe' WHEN 7 THEN NULL
+         WHEN 8 THEN 'TRUE' WHEN 9 THEN concat(chr(160), 'phishing', chr(9))
+         ELSE source END AS raw
+FROM documents
+"""
+
+BLANKED = f"""
+SELECT msg_id,
+       CASE WHEN msg_id % 5 = 0 THEN concat(' ', chr(160), chr(9))
+            WHEN msg_id % 5 = 1 THEN NULL ELSE subject END AS subject,
+       CASE WHEN msg_id % 10 IN (0, 2) THEN concat(chr(10), chr(28), ' ')
+            WHEN msg_id % 10 = 6 THEN NULL ELSE body END AS body
+FROM ({ALL_MAILS}) m
+"""
+
+NOISY = (
+    "concat(' ', subject, chr(9), ' ', chr(7), '  ', chr(10), ' ', chr(10), chr(10), chr(10), "
+    "chr(10), chr(160), chr(133), chr(127), chr(28), body, chr(11))"
+)
+REPLY_PREFIX = (
+    "CASE msg_id % 4 WHEN 0 THEN 'RE : ' WHEN 1 THEN ' fwd:' WHEN 2 THEN 'Reg: ' ELSE '' END"
+)
+
+STREAM_EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
+
 TABLES = ("documents", "labels", "pages", "conversations", "benchmark")
 
 
@@ -42,14 +109,11 @@ def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     tables = {
         name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         for name in TABLES
-        if f" {name} " in sql or f" {name}\n" in sql
+        if re.search(rf"\b(?:FROM|JOIN) {name}\b", sql)
     }
     # frames are passed by name, so no temp view outlives the call; a raw-string
     # literal keeps the newline escape for the regex engine in both dialects
-    for name in tables:
-        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(
-            f"JOIN {name}", f"JOIN {{{name}}}"
-        )
+    sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql)
     return spark.sql(sql.replace(r"\n]", r"\\n]"), **tables)
 
 
@@ -63,3 +127,26 @@ def page_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, ALL_MAILS)
+
+
+def corpus_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _run(spark, sf_dir, ENRON_BAD if name == "Enron_bad" else CORPUS_SHAPES[name])
+
+
+def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, RAW_LABELS)
+
+
+def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, BLANKED)
+
+
+def stream_mails(documents: DataFrame) -> DataFrame:
+    """A stream of documents as mails with an event time inside one day."""
+    msg_id = 2 * F.col("doc_id")
+    return documents.select(
+        msg_id.alias("msg_id"),
+        F.regexp_extract("text", r"^([^.!?\n]*)", 1).alias("subject"),
+        F.col("text").alias("body"),
+        F.timestamp_seconds(F.lit(STREAM_EPOCH) + msg_id % 86400).alias("event_ts"),
+    )

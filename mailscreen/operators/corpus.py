@@ -174,7 +174,10 @@ def drop_bad_sources(df: DataFrame) -> DataFrame:
 
 def filter_empty(df: DataFrame) -> DataFrame:
     """Keep rows with anything but white space in subject or body."""
-    return df.filter(~(text.is_blank(F.col("subject")) & text.is_blank(F.col("body"))))
+    def blank(name: str) -> Column:
+        return text.is_blank(F.coalesce(F.col(name), F.lit("")))
+
+    return df.filter(~(blank("subject") & blank("body")))
 
 
 def content_hash(subject: Column, body: Column) -> Column:
