@@ -457,7 +457,7 @@ SQL = {
     "unify_nigerian": mapped("Nigerian_Fraud"),
     "unify_phishing_email": mapped("phishing_email"),
     "unify_spamassassin": mapped("SpamAssasin"),
-    "label_coerce": f"SELECT doc_id, raw, {label_of('raw')} AS label FROM ({mt.RAW_LABELS}) r",
+    "label_coerce": f"SELECT doc_id, raw, coalesce({label_of('raw')}, -1) AS label FROM ({mt.RAW_LABELS}) r",
     "drop_bad_sources": f"""WITH both_sources AS MATERIALIZED (
         {mapped("CEAS_08")} UNION ALL {mapped("Enron", mt.ENRON_BAD)})
         SELECT msg_id, dataset_source, label FROM both_sources WHERE dataset_source NOT IN (

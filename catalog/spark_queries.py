@@ -223,7 +223,8 @@ def unify(name: str):
 def label_coerce(spark, sf):
     raw = mail_tables.raw_labels(spark, sf)
     return raw.select(
-        "doc_id", "raw", corpus.label_coerce(F.col("raw")).cast("int").alias("label")
+        "doc_id", "raw",
+        F.coalesce(corpus.label_coerce(F.col("raw")).cast("int"), F.lit(-1)).alias("label"),
     )
 
 

@@ -68,6 +68,12 @@ def entity_table_json() -> str:
     return json.dumps(table)
 
 
+@lru_cache(maxsize=1)
+def bare_entities_json() -> str:
+    """The legacy names valid without a semicolon."""
+    return json.dumps({n: t for n, t in html.entities.html5.items() if not n.endswith(";")})
+
+
 @lru_cache(maxsize=1)
 def bare_entity_pattern() -> str:
     """The legacy names valid without a semicolon, longest first."""

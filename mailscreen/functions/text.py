@@ -102,17 +102,17 @@ def _named_reference(name: Column) -> Column:
     table = F.from_json(
         F.lit(charsets.entity_table_json()), "map<string,map<string,string>>"
     )
-
-    def lookup(n: Column) -> Column:
-        return F.try_element_at(F.try_element_at(table, F.substring(n, 1, 2)), n)
+    bare_table = F.from_json(F.lit(charsets.bare_entities_json()), "map<string,string>")
 
     def by_prefix(bare: Column) -> Column:
         return F.when(bare == "", F.concat(F.lit("&"), name)).otherwise(
-            F.concat(lookup(bare), F.substr(name, F.length(bare) + 1))
+            F.concat(
+                F.try_element_at(bare_table, bare), F.substr(name, F.length(bare) + 1)
+            )
         )
 
     return F.coalesce(
-        lookup(name),
+        F.try_element_at(F.try_element_at(table, F.substring(name, 1, 2)), name),
         let(F.regexp_extract(name, charsets.bare_entity_pattern(), 0), by_prefix),
     )
 

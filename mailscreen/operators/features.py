@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mailscreen import lexicons as lx
 from mailscreen.functions import entropy, text, urls
 from mailscreen.params import TextOptions
+from mailscreen.session import settled
 
 
 def clean_mails(
@@ -33,7 +34,7 @@ def clean_mails(
     stripped = decoded.select(
         "*", text.strip_unescaped_html(F.col("_decoded")).alias("_stripped")
     )
-    return stripped.select(
+    cleaned = stripped.select(
         *keep,
         "subject_clean",
         text.tidy(F.col("_stripped"), options.fold_unicode).alias("body_clean"),
@@ -42,6 +43,7 @@ def clean_mails(
         text.has_form(F.col("_raw")).alias("has_form"),
         text.has_iframe(F.col("_raw")).alias("has_iframe"),
     )
+    return settled(cleaned, "clean")
 
 
 def metadata_features(
@@ -99,7 +101,7 @@ def metadata_features(
         "subject_has_urgency": text.has_urgency(s, fold),
         "subject_has_brand": text.has_brand(s),
     }
-    return with_terms.select(
+    features = with_terms.select(
         *keep,
         *(
             computed.get(name, F.col(name)).cast(lx.FEATURE_TYPES[name]).alias(name)
@@ -108,6 +110,7 @@ def metadata_features(
         "subject_clean",
         "body_clean",
     )
+    return settled(features, "features")
 
 
 def feature_record() -> Column:

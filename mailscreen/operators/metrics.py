@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailscreen import lexicons as lx
+from mailscreen.session import work_folder
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -54,64 +53,72 @@ def recall_gate(df: DataFrame, target: float = lx.RECALL_TARGET) -> DataFrame:
 def class_report(df: DataFrame) -> DataFrame:
     """Per-class metrics with support, then accuracy, macro and weighted averages.
 
-    Only classes that occur among the labels are reported. Everything after the first
-    aggregation works on at most four rows.
+    Only classes that occur among the labels are reported. The data is read once, for
+    the confusion counts; the report is arithmetic on that single row.
     """
-    cells = df.groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    per_class = [
-        cells.agg(
-            F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias("support"),
-            F.sum(F.when(F.col("prediction") == k, F.col("n")).otherwise(0)).alias("predicted"),
-            F.sum(
-                F.when((F.col("label") == k) & (F.col("prediction") == k), F.col("n")).otherwise(0)
-            ).alias("hits"),
-        ).select(F.lit(name).alias("class"), "support", "predicted", "hits")
-        for k, name in ((0, "legitimate"), (1, "phishing"))
-    ]
-    classes = (
-        per_class[0].unionByName(per_class[1]).filter("support > 0")
-        .select(
-            "class", "support", "hits",
-            _ratio(F.col("hits"), F.col("predicted")).alias("precision"),
-            _ratio(F.col("hits"), F.col("support")).alias("recall"),
+    measures = ("precision", "recall", "f1")
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+
+    def entry(name: str, hits: Column, predicted: Column, support: Column) -> Column:
+        p, r = _ratio(hits, predicted), _ratio(hits, support)
+        return F.struct(
+            F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"),
+            _f1(p, r).alias("f1"), support.alias("support"),
         )
-        .withColumn("f1", _f1(F.col("precision"), F.col("recall")))
+
+    classes = F.filter(
+        F.array(
+            entry("legitimate", tn, tn + fn, tn + fp), entry("phishing", tp, tp + fp, tp + fn)
+        ),
+        lambda c: c["support"] > 0,
     )
-    measures = ("precision", "recall", "f1")
-    total = F.sum("support")
-    accuracy = _ratio(F.sum("hits"), total)
-    rows = [
-        classes.select("class", *measures, "support"),
-        classes.agg(
-            *(accuracy.alias(m) for m in measures), total.alias("support")
-        ).select(F.lit("accuracy").alias("class"), *measures, "support"),
-        classes.agg(
-            *(F.avg(m).alias(m) for m in measures), total.alias("support")
-        ).select(F.lit("macro avg").alias("class"), *measures, "support"),
-        classes.agg(
-            *(_ratio(F.sum(F.col(m) * F.col("support")), total).alias(m) for m in measures),
+    total, hits = F.col("total"), tp + tn
+
+    def over_classes(name: str, value) -> Column:
+        return F.struct(
+            F.lit(name).alias("class"), *(value(m).alias(m) for m in measures),
             total.alias("support"),
-        ).select(F.lit("weighted avg").alias("class"), *measures, "support"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+        )
+
+    def summed(term) -> Column:
+        return F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + term(c))
+
+    summary = F.array(
+        over_classes("accuracy", lambda m: _ratio(hits, total)),
+        over_classes("macro avg", lambda m: summed(lambda c: c[m]) / F.size("classes")),
+        over_classes(
+            "weighted avg", lambda m: _ratio(summed(lambda c: c[m] * c["support"]), total)
+        ),
+    )
+    counted = confusion(df).select(
+        "*", classes.alias("classes"), (tp + fp + fn + tn).alias("total")
+    )
+    return (
+        counted.filter("total > 0")
+        .select(F.explode(F.concat("classes", summary)).alias("entry")).select("entry.*")
+    )
 
 
 def roc_auc(df: DataFrame, score: str, buckets: int = 512) -> DataFrame:
     """Exact area under the ROC curve; tied scores count half, NaN with one class.
 
     Rows first collapse to one row per distinct score, map-side, which also absorbs
-    any score shared by a large part of the data. Those rows are cut into ranges at
-    quantiles of the distinct scores: range totals are a small table that gets the
-    global running sum, and the order inside each range is ranked range by range.
+    any score shared by a large part of the data. That table is written out, so the
+    scores are computed once. It is then cut into ranges at quantiles of the distinct
+    scores: range totals are a small table that gets the global running sum, and the
+    order inside each range is ranked range by range.
     """
-    per_score = (
+    path = work_folder(df.sparkSession, "score-counts")
+    (
         df.filter(F.col("label").isNotNull() & F.col(score).isNotNull())
         .groupBy(F.col(score).cast("double").alias("s"))
         .agg(
             F.count_if(F.col("label") == 1).alias("pos"),
             F.count_if(F.col("label") == 0).alias("neg"),
         )
+        .write.parquet(path)
     )
+    per_score = df.sparkSession.read.parquet(path)
     cuts = per_score.agg(
         F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10 * buckets)
     ).first()[0]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from mailscreen.functions import text
 from mailscreen.functions.text import let
 from mailscreen.params import TextModelParams
+from mailscreen.session import settled
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
@@ -126,13 +127,14 @@ class TfIdf:
             return let(norm, lambda n: F.transform(weights, lambda w: w / n))
 
         sparse = counted.select(*keep, F.unwrap_udt("_counts").alias("_v"))
-        return sparse.select(
+        weighed = sparse.select(
             *keep,
             F.struct(
                 F.col("_v.indices").alias("indices"),
                 let(F.zip_with("_v.indices", "_v.values", weight), normalised).alias("weights"),
             ).alias("tfidf"),
         )
+        return settled(weighed, "tfidf")
 
     def long(self, df: DataFrame, key: str = "msg_id", text_column: str = "prepared_text"):
         """One row per mail and vocabulary term: term and weight."""

@@ -17,6 +17,7 @@ from mailscreen.operators import scoring
 from mailscreen.operators.features import feature_record, metadata_features
 from mailscreen.operators.scoring import HEURISTIC_META, HEURISTIC_TEXT, Scorer
 from mailscreen.params import ScreenParams, TextOptions
+from mailscreen.session import settled
 
 HEURISTIC_WARNING = (
     "At least one active scorer is heuristic; its scores do not come from a trained model."
@@ -45,12 +46,13 @@ def score_stages(
     ).drop("subject_clean", "body_clean")
     scored = scoring.checked(text_scorer, prepared, scoring.SCORE_TEXT)
     score_text = F.when(~F.col("gated"), F.col(scoring.SCORE_TEXT))
-    return scored.withColumn(scoring.SCORE_TEXT, score_text).withColumn(
+    final = scored.withColumn(scoring.SCORE_TEXT, score_text).withColumn(
         "score_final",
         F.when(F.col("gated"), F.col(scoring.SCORE_META)).otherwise(
             scoring.fuse(F.col(scoring.SCORE_META), F.col(scoring.SCORE_TEXT), params.alpha)
         ),
     )
+    return settled(final, "scores")
 
 
 def classify(
