@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # executors need not have this package installed: ship the kernel itself
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,12 +79,14 @@ def _largest_entropy(lists: pa.Array) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _string_entropy(column: pa.Array) -> pa.Array:
     return pa.array(string_entropies(column))
 
 
-@F.arrow_udf("subject double, body double, urls double")
+@F.arrow_udf(
+    T.StructType([T.StructField(n, T.DoubleType()) for n in ("subject", "body", "urls")])
+)
 def _mail_entropies(subject: pa.Array, body: pa.Array, urls: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(
         [

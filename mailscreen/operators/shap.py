@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailscreen import lexicons as lx
 from mailscreen.session import work_folder
@@ -130,7 +131,7 @@ def shap_column(spark: SparkSession, groups: list[PathGroup]) -> Callable[[Colum
     shared = spark.sparkContext.broadcast(groups)
     width = len(lx.FEATURES)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def shap_udf(features: pa.Array) -> pa.Array:
         wanted = features.drop_null()
         x = np.asarray(wanted.flatten(), dtype=np.float64).reshape(len(wanted), width)
