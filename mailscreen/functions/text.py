@@ -73,13 +73,17 @@ def _from_code_point(n: Column) -> Column:
         | (low >= 0xFFFE)
     ) & (n != 0xC)
     replaced = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
-    utf32 = F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0"))
+    hexed = F.hex(n.cast("bigint"))
+    # big-endian UTF-16 leaves U+FEFF alone, which UTF-32 takes for a byte order mark
+    char = F.when(n <= 0xFFFF, F.decode(F.unhex(F.lpad(hexed, 4, "0")), "UTF-16BE")).otherwise(
+        F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+    )
     return (
         F.when(replaced, F.lit("�"))
         .when(n == 0xD, F.lit("\r"))
         .when(n.between(0x80, 0x9F), F.get(c1, n - 0x80))
         .when(dropped, F.lit(""))
-        .otherwise(F.decode(utf32, "UTF-32"))
+        .otherwise(char)
     )
 
 

@@ -103,7 +103,7 @@ class TextModelParams:
     penalty: str = "l2"
     l1_ratio: float = 0.5
     max_iter: int = 1_000
-    tol: float = 1e-6
+    tol: float = 1e-5
 
     def __post_init__(self) -> None:
         _at_least("max_features", self.max_features, 1)

@@ -10,7 +10,7 @@ from mailscreen.operators.corpus import content_hash
 from mailscreen.operators.scoring import HEURISTIC_META, HEURISTIC_TEXT, Scorer
 from mailscreen.params import ScreenParams, TextOptions
 from mailscreen.plans import screen
-from mailscreen.session import work_folder
+from mailscreen.session import too_few_partitions, work_folder
 
 
 def read_mails(
@@ -20,11 +20,19 @@ def read_mails(
     glob: str = "*.parquet",
     max_files: int | None = None,
 ) -> DataFrame:
-    """Parquet files of a folder as an unbounded table."""
+    """Parquet files of a folder as an unbounded table.
+
+    Batches of few or small files are redistributed, so that they occupy every core; a
+    folder that already holds enough splits is read as it is, without a shuffle.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    stream = reader.parquet(folder)
+    present = spark.read.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    if max_files is not None or too_few_partitions(present):
+        return stream.repartition(spark.sparkContext.defaultParallelism)
+    return stream
 
 
 def stream_classify(
