@@ -148,7 +148,11 @@ HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_TAG = r"(?iu)</?[a-zA-Z][^>]{0,500}>"
 CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 URL_TAIL = rf"""[^{WS_CHARS}<>"'(){{}}\[\]]{{1,2048}}"""
-URL = rf"(?iU)(?:https?|ftp)://{URL_TAIL}|(?<![\p{{L}}\p{{N}}_])www\.{URL_TAIL}"
+# the leading look-ahead only lets positions be skipped quickly
+URL = (
+    rf"(?=[HhFfWw])(?iU)(?:(?:https?|ftp)://{URL_TAIL}"
+    rf"|(?<![\p{{L}}\p{{N}}_])www\.{URL_TAIL})"
+)
 URL_TRAILING = r"[.,;:!?)>»\]]+\z"
 URL_HOST = rf"(?iU)^(?:https?|ftp)://([^/:?#{WS_CHARS}]{{1,253}})"
 IP_URL = r"(?iu)^https?://\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}(?:[:/]|\z)"

@@ -25,7 +25,7 @@ def test_fold_agrees_with_nfkd_on_every_code_point(spark):
     points = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
     df = spark.createDataFrame(pd.DataFrame({"id": points, "c": [chr(p) for p in points]}))
     got = df.select("id", text.ascii_fold(F.col("c")).alias("o"), text.is_blank(F.col("c")).alias("ws"))
-    table = {r.id: (r.o, r.ws) for r in got.collect()}
+    table = {i: (o, ws) for i, o, ws in got.toPandas().itertuples(index=False)}
     for p in points:
         folded = unicodedata.normalize("NFKD", chr(p)).encode("ascii", "ignore").decode()
         assert table[p] == (folded, chr(p).isspace()), hex(p)
