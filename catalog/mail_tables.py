@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailscreen.session import spread
+
 DOC_MAILS = r"""
 SELECT 2 * d.doc_id AS msg_id, d.source AS dataset_source,
        regexp_extract(d.text, '^([^.!?\n]*)', 1) AS subject,
@@ -106,8 +108,12 @@ TABLES = ("documents", "labels", "pages", "conversations", "benchmark")
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    def load(name: str) -> DataFrame:
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table if name == "labels" else spread(table)
+
     tables = {
-        name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        name: load(name)
         for name in TABLES
         if re.search(rf"\b(?:FROM|JOIN) {name}\b", sql)
     }

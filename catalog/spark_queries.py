@@ -15,7 +15,7 @@ from mailscreen.operators import (
 )
 from mailscreen.params import ForestParams, ScreenParams
 from mailscreen.plans import screen
-from mailscreen.session import spread, work_folder
+from mailscreen.session import work_folder
 from mailscreen.sources import csv_corpora, models, requests, tables
 from mailscreen.streaming import jobs
 
@@ -28,11 +28,11 @@ SWEEP_GRID = tuple(
 
 
 def mails(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(mail_tables.all_mails(spark, sf))
+    return mail_tables.all_mails(spark, sf)
 
 
 def doc_mails(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(mail_tables.doc_mails(spark, sf))
+    return mail_tables.doc_mails(spark, sf)
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,12 +40,15 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def too_few_partitions(df: DataFrame) -> bool:
-    """Whether a batch frame's input would leave cores idle."""
+    """Whether the splits of a plain scan would leave cores idle.
+
+    Only for scans: counting the partitions of a frame with shuffles would run them.
+    """
     return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions to occupy every core.
+    """Give a small scanned table enough partitions to occupy every core.
 
     Text work is CPU-bound, and a table of one file and row group would run in one
     task. Inputs that already have at least as many partitions as cores - anything
