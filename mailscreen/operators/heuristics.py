@@ -64,8 +64,8 @@ def contributions(top_k: int) -> Column:
         )
     )
     positive = F.filter(terms, lambda t: t["value"] > 0)
-    # array_sort is ascending: negate the value, then the weight order breaks ties
-    ordered = F.array_sort(
+    # sorting is ascending: negate the value, then the weight order breaks ties
+    ordered = F.sort_array(
         F.transform(
             positive,
             lambda t: F.struct(

@@ -10,6 +10,7 @@ a narrow Arrow stage.
 
 from __future__ import annotations
 
+import logging
 import math
 import sys
 from collections.abc import Callable
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from mailscreen import lexicons as lx
 from mailscreen.session import work_folder
 
+log = logging.getLogger(__name__)
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CELLS = 200_000  # rows x paths handled at once
@@ -146,7 +149,7 @@ def shap_column(spark: SparkSession, groups: list[PathGroup]) -> Callable[[Colum
 def top_positive(values: Column, top_k: int) -> Column:
     """The largest positive values with their feature names; ties in canonical order."""
     names = F.split(F.lit("\n".join(lx.FEATURES)), "\n")
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.filter(
             F.transform(values, lambda v, i: F.struct((-v).alias("key"), i.alias("i"))),
             lambda t: t["key"] < 0,
@@ -170,9 +173,7 @@ def explainer(model, spark: SparkSession, only: Column | None = None):
     try:
         groups, _ = path_groups(node_table(model.forest, spark), model.forest.getNumTrees)
     except Exception as error:  # an explanation must never break scoring
-        import logging
-
-        logging.getLogger(__name__).warning("no explanations: %s", error)
+        log.warning("no explanations: %s", error)
         groups = None
 
     def explain(scored: DataFrame, top_k: int) -> DataFrame:

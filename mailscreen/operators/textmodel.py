@@ -119,7 +119,7 @@ class TextModel:
             self._products(F.col("tfidf")),
             lambda i, p: F.struct((-p).alias("key"), F.get(names, i).alias("term")),
         )
-        best = F.slice(F.array_sort(F.filter(items, lambda t: t["key"] < 0)), 1, top_k)
+        best = F.slice(F.sort_array(F.filter(items, lambda t: t["key"] < 0)), 1, top_k)
         weighed = self.tfidf.weigh(df.select(key, "prepared_text"))
         return weighed.select(key, F.posexplode(best).alias("pos", "t")).select(
             key,

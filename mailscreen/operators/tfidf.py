@@ -60,7 +60,7 @@ def term_counts(grams: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(F.size(grams) > 0, let(F.array_sort(grams), count_runs)).otherwise(empty)
+    return F.when(F.size(grams) > 0, let(F.sort_array(grams), count_runs)).otherwise(empty)
 
 
 def mail_grams(prepared: Column, params: TextModelParams = TextModelParams()) -> Column:

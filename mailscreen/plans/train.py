@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mailscreen.operators import features, forest, metrics, textmodel
 from mailscreen.params import ForestParams, TextModelParams, TextOptions
-from mailscreen.sources import models
 from mailscreen.session import work_folder
-from dataclasses import replace
+from mailscreen.sources import models
+
+
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the work folder, for jobs that read it several times."""
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _evaluate(scored: DataFrame, score: str) -> dict[str, float]:
-    """Metrics of a scored validation split, from one written score table."""
-    path = work_folder(scored.sparkSession, "scores")
-    scored.select("label", score).write.parquet(path)
-    table = scored.sparkSession.read.parquet(path)
+    """Metrics of a scored validation split."""
+    table = _written(scored.select("label", score), "scores")
     if not metrics.smoke_scores(table, score).first().valid:
         raise RuntimeError(f"{score} leaves [0, 1]")
     m = metrics.eval_binary(metrics.with_prediction(table, score)).first().asDict()
@@ -62,9 +68,11 @@ def run_text(
             return models.load_text(spark, path)
     except FileNotFoundError:
         pass
-    model = textmodel.train_text(
-        features.text_corpus(train, options, keep=["label"]), params, options
+    # fitting the vocabulary and weighting the mails both read the prepared texts
+    corpus = _written(features.text_corpus(train, options, keep=["label"]), "prepared-texts")
+    model = textmodel.train_text(corpus, params, options)
+    measured = _evaluate(
+        model.score(features.text_corpus(val, options, keep=["label"])), "score_text"
     )
-    measured = _evaluate(model.score(features.text_corpus(val, options, keep=["label"])), "score_text")
     models.save_text(replace(model, train_metrics=measured), spark, path, force=True)
     return models.load_text(spark, path)
