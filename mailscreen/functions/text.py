@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -232,39 +233,65 @@ def prepare_text(
 # ---------------------------------------------------------------- counts
 
 
-def _terms(terms: tuple[str, ...], fold: bool) -> Column:
+def _term_groups(terms: tuple[str, ...], fold: bool) -> Column:
+    """Terms grouped by their first four letters, each group with its common prefix.
+
+    A text without the prefix holds no term of the group, so one scan rules out, say,
+    all inflections of a word.
+    """
     if fold:
         single_from, single_to, _ = charsets.ascii_fold_tables()
         table = str.maketrans(single_from, single_to)
         terms = tuple(dict.fromkeys(t.translate(table) for t in terms))
-    return F.split(F.lit("\n".join(terms)), "\n")
+    groups: dict[str, list[str]] = {}
+    for term in terms:
+        groups.setdefault(term[:4], []).append(term)
+    literal = json.dumps(
+        [{"prefix": os.path.commonprefix(g), "terms": g} for g in groups.values()]
+    )
+    return F.from_json(F.lit(literal), "array<struct<prefix:string,terms:array<string>>>")
 
 
-def _count_terms(c: Column, terms: Column) -> Column:
-    return let(
-        F.lower(c), lambda low: F.size(F.filter(terms, lambda term: F.contains(low, term)))
-    )
+def _present_groups(low: Column, groups: Column) -> Column:
+    return F.filter(groups, lambda g: F.contains(low, g["prefix"]))
 
 
-def _has_term(c: Column, terms: Column) -> Column:
-    return let(F.lower(c), lambda low: F.exists(terms, lambda term: F.contains(low, term)))
+def _count_terms(c: Column, groups: Column) -> Column:
+    def count(low: Column) -> Column:
+        hits = F.transform(
+            _present_groups(low, groups),
+            lambda g: F.size(F.filter(g["terms"], lambda term: F.contains(low, term))),
+        )
+        return F.aggregate(hits, F.lit(0), lambda acc, n: acc + n)
+
+    return let(F.lower(c), count)
+
+
+def _has_term(c: Column, groups: Column) -> Column:
+    return let(
+        F.lower(c),
+        lambda low: F.exists(
+            _present_groups(low, groups),
+            lambda g: F.exists(g["terms"], lambda term: F.contains(low, term)),
+        ),
+    )
 
 
 def count_urgency(c: Column, fold_lexicon: bool = False) -> Column:
     """Number of distinct persuasion terms occurring as substrings."""
-    return _count_terms(c, _terms(lx.URGENCY_TERMS, fold_lexicon))
+    return _count_terms(c, _term_groups(lx.URGENCY_TERMS, fold_lexicon))
 
 
 def has_urgency(c: Column, fold_lexicon: bool = False) -> Column:
-    return _has_term(c, _terms(lx.URGENCY_TERMS, fold_lexicon))
+    return _has_term(c, _term_groups(lx.URGENCY_TERMS, fold_lexicon))
 
 
 def count_brands(c: Column) -> Column:
-    return _count_terms(c, _terms(lx.BRAND_TERMS, False))
+    return _count_terms(c, _term_groups(lx.BRAND_TERMS, False))
 
 
 def has_brand(c: Column) -> Column:
-    return _has_term(c, _terms(lx.BRAND_TERMS, False))
+    return _has_term(c, _term_groups(lx.BRAND_TERMS, False))
 
 
 def word_count(collapsed: Column) -> Column:
