@@ -34,10 +34,13 @@ HOST = quoted(rf"(?i)^(?:https?|ftp)://([^/:?#{WS_CHARS}]+)")
 
 
 def unescape(x: str) -> str:
-    """The references occurring in the data; '&amp;' last, so that one pass is one pass."""
+    """The references occurring in the data; '&amp;' last, so that one pass is one pass.
+
+    All of these names are also valid without their semicolon.
+    """
     for entity, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"),
-                         ("nbsp", "\xa0"), ("#39", "''"), ("amp", "&")):
-        x = f"replace({x}, '&{entity};', '{char}')"
+                         ("nbsp", "\xa0"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{entity};?', '{char}', 'g')"
     return x
 
 
