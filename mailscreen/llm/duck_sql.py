@@ -7,6 +7,49 @@ BLANK = r"[^\x20\x09-\x0D]+"
 # maximal runs of digits, a to z and characters beyond ASCII
 SPAN_WORDS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+# runs of lines with a word, at every line the shortest that end and start there
+OP1 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+raw_lines AS (
+  SELECT r, doc_id, p, l, len(regexp_extract_all(l, '{BLANK}')) AS w
+  FROM (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM docs),
+       unnest(range(1, len(ls) + 1)) AS t(p), unnest([ls[p]]) AS u(l)),
+lines AS (
+  SELECT *, row_number() OVER d - 1 AS i, sum(w) OVER d AS upto
+  FROM raw_lines WHERE w > 0 WINDOW d AS (PARTITION BY r ORDER BY p)),
+bounds AS (
+  SELECT max(a.i) AS first, b.i AS last, b.r FROM lines a JOIN lines b
+    ON a.r = b.r AND a.i <= b.i AND b.upto - a.upto + a.w >= 50 GROUP BY b.r, b.i
+  UNION
+  SELECT a.i, min(b.i), a.r FROM lines a JOIN lines b
+    ON a.r = b.r AND a.i <= b.i AND b.upto - a.upto + a.w >= 50 GROUP BY a.r, a.i),
+windows AS (
+  SELECT b.r, l.doc_id, first, last - first + 1 AS n,
+         string_agg(l.l, chr(10) ORDER BY l.i) AS body
+  FROM bounds b JOIN lines l ON l.r = b.r AND l.i BETWEEN first AND last
+  GROUP BY b.r, l.doc_id, first, last),
+origins AS (
+  SELECT body, min((doc_id, first)) AS origin FROM windows GROUP BY body),
+cut AS (
+  SELECT DISTINCT r, first, n FROM windows JOIN origins USING (body)
+  WHERE doc_id <> origin[1] OR first >= origin[2] + n),
+cut_lines AS (
+  SELECT DISTINCT r, i FROM cut, unnest(range(first, first + n)) AS t(i)),
+cut_places AS (
+  SELECT DISTINCT c.r, q AS p FROM cut c
+  JOIN lines a ON a.r = c.r AND a.i = first JOIN lines b ON b.r = c.r AND b.i = first + n - 1,
+  unnest(range(a.p, b.p + 1)) AS t(q)),
+kept AS (
+  SELECT r, string_agg(l, chr(10) ORDER BY p) AS body
+  FROM raw_lines ANTI JOIN cut_places USING (r, p) GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM cut_lines GROUP BY r)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(body, '') END AS text,
+       coalesce(n, 0)::BIGINT AS n_deleted,
+       CASE WHEN text IS NULL THEN NULL ELSE length(coalesce(body, '')) END AS n_chars
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+"""
+
 OP3 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -75,6 +118,7 @@ SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken
 """
 
 SQL = {
+    "op1_line_dedup": OP1,
     "op3_decontaminate": OP3,
     "op9_mix": OP9,
 }

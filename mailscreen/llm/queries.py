@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailscreen.llm import decontamination, mixing
+from mailscreen.llm import decontamination, line_dedup, mixing, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    done = line_dedup.dedup_lines(docs)
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")
@@ -18,11 +25,17 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("text_hash", "spans")
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.components(table(spark, sf, "documents")).drop("text_hash", "root")
+
+
 def op9_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf, "documents"))
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_simhash": op4_simhash,
     "op9_mix": op9_mix,
 }
