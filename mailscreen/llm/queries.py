@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailscreen.llm import decontamination, line_dedup, mixing, simhash
+from mailscreen.llm import (
+    decontamination, line_dedup, mixing, quality_ranker, quality_rules, secret_scan, simhash,
+    token_counts,
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +22,10 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")
@@ -29,13 +37,34 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.components(table(spark, sf, "documents")).drop("text_hash", "root")
 
 
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality_rules.quality(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "p_good", "kept",
+    )
+
+
+def op8_quality_ranker(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_ranker.ranked(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf, "documents"), vocabulary)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_ranker": op8_quality_ranker,
     "op9_mix": op9_mix,
+    "op10_token_counts": op10_token_counts,
 }
