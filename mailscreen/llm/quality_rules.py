@@ -149,11 +149,9 @@ def quality(docs: DataFrame, params: VoteParams = VoteParams()) -> DataFrame:
 def keep_good(docs: DataFrame, params: VoteParams = VoteParams()) -> DataFrame:
     """The documents that are kept, with their own columns only.
 
-    Equal texts get equal verdicts, so verdicts join on a hash of the text, once each.
+    Texts are written once beside their votes and filtered on reading, so they are
+    measured once and never shuffled.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    votes = written(
-        measured(docs.select(text_hash.alias("judged_hash"), "text")).drop("text"), "rules-votes"
-    )
-    kept = judged(votes, params).filter("kept").select("judged_hash").distinct()
-    return docs.join(kept, text_hash == kept["judged_hash"], "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    voted = written(measured(docs.select("text", whole)).drop("text"), "rules-documents")
+    return judged(voted, params).filter("kept").select("document.*")

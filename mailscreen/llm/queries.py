@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen.llm import (
-    decontamination, line_dedup, mixing, quality_ranker, quality_rules, secret_scan, simhash,
-    token_counts,
+    decontamination, html_extract, line_dedup, mixing, quality_ranker, quality_rules,
+    secret_scan, simhash, token_counts, warc,
 )
 
 
@@ -37,6 +37,10 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.components(table(spark, sf, "documents")).drop("text_hash", "root")
 
 
+def op5_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     found = quality_rules.quality(table(spark, sf, "documents"))
     return found.select(
@@ -45,6 +49,10 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(table(spark, sf, "pages")).drop("payload")
+
+
 def op8_quality_ranker(spark: SparkSession, sf: str) -> DataFrame:
     return quality_ranker.ranked(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -63,7 +71,9 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_html_extract": op5_html_extract,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op8_quality_ranker": op8_quality_ranker,
     "op9_mix": op9_mix,
     "op10_token_counts": op10_token_counts,

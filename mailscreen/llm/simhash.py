@@ -217,20 +217,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = written(components(docs), "simhash-components")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
-    winners = written(
-        found.groupBy("root").agg(F.min(rank).alias("w"))
-        .select(F.col("w.doc_id").alias("keep_id"), F.col("w.text_hash").alias("keep_hash"))
-        .distinct(),
-        "simhash-winners",
+    first = found.groupBy("root").agg(F.min(rank).alias("w"), F.count(F.lit(1)).alias("n"))
+    # copies only; a component of one document has no loser
+    several = first.filter("n > 1").select("root", "w")
+    chosen = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (
+        F.col("text_hash") == F.col("w.text_hash")
     )
-    few = small(winners, SMALL_ROWS)
-
-    def won(rows: DataFrame, text_hash: Column) -> DataFrame:
-        same = rows["doc_id"].eqNullSafe(few["keep_id"]) & (text_hash == few["keep_hash"])
-        return rows.join(few, same, "left_semi")
-
-    kept = won(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    if won(found, found["text_hash"]).count() > winners.count():  # equal rows
+    copies = written(
+        found.join(several, "root").select("doc_id", "text_hash", chosen.alias("chosen")),
+        "simhash-copies",
+    )
+    losers = copies.filter("not chosen").select(
+        F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash")
+    ).distinct()
+    losers = small(losers, SMALL_ROWS)
+    lost = docs["doc_id"].eqNullSafe(losers["lost_id"]) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == losers["lost_hash"]
+    )
+    kept = docs.join(losers, lost, "left_anti")
+    winners = copies.filter("chosen")
+    if winners.count() > winners.distinct().count():  # rows equal in id and text
         kept = kept.withColumn("row_hash", F.xxhash64(text_or_empty()))
         kept = kept.dropDuplicates(["doc_id", "row_hash"]).drop("row_hash")
     return kept
