@@ -30,10 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailscreen.llm.staging import WORD, text_or_empty, written
-
-# Deleted runs of at most so many rows are broadcast: about 30 MB.
-SMALL_RUNS = 300_000
+from mailscreen.llm.staging import WORD, bundle, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -159,23 +156,22 @@ def without_runs(text: Column, runs: Column) -> Column:
 def dedup_lines(docs: DataFrame, params: PassageParams = PassageParams()) -> DataFrame:
     """The documents without later copies of passages; adds n_deleted, the lines deleted."""
     runs = written(repeated_runs(docs, params), "lines-runs")
-    few = runs.count() <= SMALL_RUNS
     by_doc = runs.groupBy(
         F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash")
-    ).agg(F.collect_list(F.struct("first", "n")).alias("cut_runs"))
-    by_doc = F.broadcast(by_doc) if few else by_doc
-    same = docs["doc_id"].eqNullSafe(by_doc["cut_id"]) & (
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == by_doc["cut_hash"]
-    )
+    ).agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_hash") == F.col("cut_hash"))
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), bundle(docs))
     deleted = F.flatten(F.transform(
-        "cut_runs", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1)
+        "runs", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1)
     ))
-    cut = F.col("cut_runs").isNotNull()
-    return (
-        docs.join(by_doc, same, "left")
-        .withColumn("n_deleted", F.when(cut, F.size(F.array_distinct(deleted))).otherwise(0)
-                    .cast("long"))
-        .withColumn("text", F.when(cut, without_runs(F.col("text"), F.col("cut_runs")))
-                    .otherwise(F.col("text")))
-        .drop("cut_id", "cut_hash", "cut_runs")
+    cut = F.col("runs").isNotNull()
+    n_deleted = F.when(cut, F.size(F.array_distinct(deleted))).otherwise(0).cast("long")
+    whole = F.col("document.text")
+    text = F.when(cut, without_runs(whole, F.col("runs"))).otherwise(whole)
+    return rows.join(by_doc, same, "left").select(
+        *[
+            text.alias(c) if c == "text" else F.col("document").getField(c).alias(c)
+            for c in docs.columns if c != "n_deleted"
+        ],
+        n_deleted.alias("n_deleted"),
     )

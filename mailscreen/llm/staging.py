@@ -33,6 +33,11 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def bundle(df: DataFrame) -> Column:
+    """All columns of a frame as one, out of the way of columns that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("document")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
