@@ -107,10 +107,8 @@ def with_copies(
     """Add source_size, target, copies and taken to documents that have a size."""
     targets = small(targets.select("source", "source_size", "target"), SMALL_SOURCES)
     docs = docs.drop("source_size", "target", "copies", "taken")
-    targets = targets.withColumnRenamed("source", "mixed_source")
-    joined = docs.join(
-        targets, docs["source"].eqNullSafe(targets["mixed_source"]), "left"
-    ).drop("mixed_source")
+    same = docs["source"].eqNullSafe(targets["source"])
+    joined = docs.join(targets, same, "left").drop(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = (whole + F.when(draw(params.seed) < rate - whole, 1).otherwise(0)).cast("long")

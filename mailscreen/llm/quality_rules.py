@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailscreen.llm.staging import written
+from mailscreen.llm.staging import bundle, written
 from mailscreen.llm.text_stats import text_counts
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
@@ -152,6 +152,6 @@ def keep_good(docs: DataFrame, params: VoteParams = VoteParams()) -> DataFrame:
     Texts are written once beside their votes and filtered on reading, so they are
     measured once and never shuffled.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    voted = written(measured(docs.select("text", whole)).drop("text"), "rules-documents")
+    voted = measured(docs.select("text", bundle(docs))).drop("text")
+    voted = written(voted, "rules-documents")
     return judged(voted, params).filter("kept").select("document.*")

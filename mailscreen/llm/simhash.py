@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailscreen.llm.staging import small, text_or_empty, written
+from mailscreen.llm.staging import bundle, small, text_or_empty, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -237,6 +237,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = docs.join(losers, lost, "left_anti")
     winners = copies.filter("chosen")
     if winners.count() > winners.distinct().count():  # rows equal in id and text
-        kept = kept.withColumn("row_hash", F.xxhash64(text_or_empty()))
-        kept = kept.dropDuplicates(["doc_id", "row_hash"]).drop("row_hash")
+        kept = kept.select("doc_id", F.xxhash64(text_or_empty()).alias("hash"), bundle(kept))
+        kept = kept.dropDuplicates(["doc_id", "hash"]).select("document.*")
     return kept
