@@ -58,7 +58,7 @@ def main() -> None:
 
     seconds = {n: timed(lambda: run(q.QUERIES[n](spark, SF_DIR))) for n in HEADLINES}
     training = {
-        "train_meta_30_trees": timed(lambda: q.meta_model(spark, SF_DIR)),
+        "train_meta": timed(lambda: q.meta_model(spark, SF_DIR)),
         "train_text": timed(lambda: q.text_model(spark, SF_DIR)),
     }
     seconds |= {n: timed(lambda: run(q.QUERIES[n](spark, SF_DIR))) for n in TRAINED}

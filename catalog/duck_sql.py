@@ -57,7 +57,7 @@ def comments(x: str) -> str:
 
 
 def tags(x: str) -> str:
-    return sub(x, r"</?[a-zA-Z][^>]{0,500}>")
+    return sub(x, r"</?[a-zA-Z][^>]*>")
 
 
 def collapse(x: str) -> str:
@@ -193,7 +193,7 @@ FEATURE_SQL = {
     "num_redirect_params": n_match("urls", REDIRECT),
     "max_url_length": "CAST(coalesce(list_max(list_transform(urls, lambda u: length(u))), 0) "
                       "AS INTEGER)",
-    "has_html": f"regexp_matches(raw, {quoted('<[a-zA-Z][^>]{0,200}>')})",
+    "has_html": f"regexp_matches(raw, {quoted('<[a-zA-Z][^>]*>')})",
     "has_form": rf"regexp_matches(raw, '(?i)<form\b')",
     "has_iframe": rf"regexp_matches(raw, '(?i)<iframe\b')",
     "has_urgency_words": f"{count_terms('both_texts', lx.URGENCY_TERMS)} > 0",
@@ -214,8 +214,8 @@ FEATURES = (
 )
 
 PREPARED_TEXT = (
-    f"substr(CASE WHEN subject_clean <> '' THEN subject_clean || {quoted(lx.TEXT_SEPARATOR)} "
-    f"|| body_clean ELSE body_clean END, 1, {lx.MAX_TEXT_LENGTH})"
+    f"CASE WHEN subject_clean <> '' THEN subject_clean || {quoted(lx.TEXT_SEPARATOR)} "
+    "|| body_clean ELSE body_clean END"
 )
 
 
@@ -355,8 +355,7 @@ SPLIT_CASE = (
 SCORED = f"""{DOCS.replace("mails AS", "docs AS")},
 mails AS MATERIALIZED (SELECT * FROM docs WHERE label IS NOT NULL), {CLEAN}, {FEATURES}, {STAGES},
 scored AS MATERIALIZED (
-  SELECT msg_id, label, round(score_final, 6) AS score,
-         CAST(round(score_final, 6) >= 0.5 AS INTEGER) AS prediction
+  SELECT msg_id, label, score_final AS score, CAST(score_final >= 0.5 AS INTEGER) AS prediction
   FROM stages)"""
 CONFUSION = """
 conf AS (SELECT count(*) FILTER (label = 1 AND prediction = 1) AS tp,
@@ -371,7 +370,7 @@ prf AS (SELECT precision, recall,
 
 # ---------------------------------------------------------------- text corpus
 
-PREPARED = f"""{DOCS}, {CLEAN},
+PREPARED = f"""{MAILS}, {CLEAN},
 prepared AS MATERIALIZED (SELECT msg_id, label, {PREPARED_TEXT} AS prepared_text FROM clean),
 tokens AS MATERIALIZED (
   SELECT msg_id, regexp_extract_all(lower(prepared_text), '[a-z0-9_]{{2,}}') AS t FROM prepared),
@@ -425,9 +424,9 @@ def contributions() -> str:
 
 STREAM_MAILS = f"""
 mails AS MATERIALIZED (
-  SELECT 2 * doc_id AS msg_id, regexp_extract(text, '^([^.!?\\n]*)', 1) AS subject,
-         text AS body, CAST(NULL AS INTEGER) AS label,
-         {mt.STREAM_EPOCH} + (2 * doc_id) % 86400 AS ts FROM documents)"""
+  SELECT msg_id, subject, body, CAST(NULL AS INTEGER) AS label,
+         {mt.STREAM_EPOCH} + (msg_id * {mt.STREAM_STEP}) % {mt.STREAM_SPAN} AS ts
+  FROM ({mt.ALL_MAILS}) m)"""
 
 SQL = {
     "src_csv": mt.CORPUS_SHAPES["CEAS_08"],
@@ -518,10 +517,7 @@ SQL = {
         one AS (SELECT msg_id, unnest(l) AS raw, unnest(range(len(l))) AS pos FROM found)
         SELECT msg_id, CAST(pos AS INTEGER) AS pos, raw,
                regexp_replace(raw, {URL_TAIL}, '') AS url FROM one""",
-    # the operator sees the finished URL list, so its query parts are searched again
-    "nested_urls": f"""WITH {MAILS}, {CLEAN} SELECT msg_id, unnest(flatten(list_transform(
-        list_filter(urls, lambda u: contains(u, '?')),
-        lambda u: {find_urls("substr(u, strpos(u, '?'))")}))) AS url FROM clean""",
+    "nested_urls": f"WITH {MAILS}, {CLEAN} SELECT msg_id, unnest(nested) AS url FROM clean",
     "extract_domains": over_clean("array_to_string(domains, ' ')"),
     "has_ip_url": over_clean(FEATURE_SQL["has_ip_url"]),
     "has_shortener": over_clean(FEATURE_SQL["has_url_shortener"]),
@@ -633,7 +629,5 @@ SQL = {
     "stream_label_counts": f"""WITH {STREAM_MAILS}, {CLEAN}, {FEATURES}, {STAGES},
         t AS (SELECT s.*, m.ts - m.ts % 3600 AS window_start FROM stages s JOIN mails m USING (msg_id))
         SELECT CAST(window_start AS BIGINT) AS window_start, {LABEL} AS label, gated,
-               count(*) AS n FROM t
-        WHERE window_start + 3600 <= (SELECT max(ts) FROM mails) - 600
-        GROUP BY 1, 2, 3""",
+               count(*) AS n FROM t GROUP BY 1, 2, 3""",
 }

@@ -103,6 +103,8 @@ REPLY_PREFIX = (
 )
 
 STREAM_EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
+# event times in steps of two hours and more, so that even small tables fill many windows
+STREAM_STEP, STREAM_SPAN = 7_919, 30 * 86_400
 
 TABLES = ("documents", "labels", "pages", "conversations", "benchmark")
 
@@ -147,12 +149,19 @@ def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, BLANKED)
 
 
-def stream_mails(documents: DataFrame) -> DataFrame:
-    """A stream of documents as mails with an event time inside one day."""
-    msg_id = 2 * F.col("doc_id")
-    return documents.select(
-        msg_id.alias("msg_id"),
+def with_event_time(mails: DataFrame) -> DataFrame:
+    """Mails with an event time within 30 days."""
+    seconds = F.lit(STREAM_EPOCH) + (F.col("msg_id") * STREAM_STEP) % STREAM_SPAN
+    return mails.select("msg_id", "subject", "body", F.timestamp_seconds(seconds).alias("event_ts"))
+
+
+def stream_mails(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Streams of documents and pages as one stream of mails."""
+    plain = documents.select(
+        (2 * F.col("doc_id")).alias("msg_id"),
         F.regexp_extract("text", r"^([^.!?\n]*)", 1).alias("subject"),
         F.col("text").alias("body"),
-        F.timestamp_seconds(F.lit(STREAM_EPOCH) + msg_id % 86400).alias("event_ts"),
     )
+    sql = PAGE_MAILS.replace("FROM pages", "FROM {pages}")
+    marked_up = documents.sparkSession.sql(sql, pages=pages).select("msg_id", "subject", "body")
+    return with_event_time(plain.union(marked_up))

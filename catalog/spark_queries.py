@@ -13,7 +13,7 @@ from mailscreen.functions import entropy, text, urls
 from mailscreen.operators import (
     corpus, features, forest, heuristics, metrics, scoring, shap, textmodel, tfidf,
 )
-from mailscreen.params import ForestParams, ScreenParams
+from mailscreen.params import ScreenParams, SplitParams
 from mailscreen.plans import screen
 from mailscreen.session import work_folder
 from mailscreen.sources import csv_corpora, models, requests, tables
@@ -40,17 +40,22 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return features.text_corpus(doc_mails(spark, sf), keep=["msg_id", "label"])
+    return features.text_corpus(mails(spark, sf), keep=["msg_id", "label"])
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Only documents can have a label."""
     return doc_mails(spark, sf).filter(F.col("label").isNotNull())
 
 
+def prepared_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return features.text_corpus(labelled(spark, sf), keep=["msg_id", "label"])
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled mails with heuristic score and prediction."""
     stages = screen.score_stages(labelled(spark, sf), keep=["msg_id", "label"])
-    final = stages.select("msg_id", "label", F.round("score_final", 6).alias("score"))
+    final = stages.select("msg_id", "label", F.col("score_final").alias("score"))
     return metrics.with_prediction(final, "score")
 
 
@@ -66,7 +71,7 @@ def unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.dedup_by_hash(unified(spark, sf))
+    return corpus.dedup_by_hash(unified(spark, sf).drop("subject", "body"))
 
 
 # ---------------------------------------------------------------- shared models
@@ -79,7 +84,7 @@ def _app(spark: SparkSession) -> str:
 @lru_cache(maxsize=4)
 def _meta_model(app: str, sf: str) -> forest.ForestModel:
     spark = SparkSession.getActiveSession()
-    return forest.train_meta(_feature_table(app, sf), ForestParams(num_trees=30))
+    return forest.train_meta(_feature_table(app, sf))
 
 
 @lru_cache(maxsize=4)
@@ -93,7 +98,7 @@ def _feature_table(app: str, sf: str) -> DataFrame:
 @lru_cache(maxsize=4)
 def _text_model(app: str, sf: str) -> textmodel.TextModel:
     spark = SparkSession.getActiveSession()
-    return textmodel.train_text(prepared(spark, sf).filter("label IS NOT NULL"))
+    return textmodel.train_text(prepared_labelled(spark, sf))
 
 
 def meta_model(spark: SparkSession, sf: str) -> forest.ForestModel:
@@ -342,9 +347,14 @@ def clean_url(spark, sf):
 
 
 def nested_urls(spark, sf):
-    return cleaned(spark, sf).select(
-        "msg_id", F.explode(urls.nested_urls(F.col("urls"))).alias("url")
+    """Targets carried by the URLs that stand in the text, one level deep."""
+    raw = mails(spark, sf).select("msg_id", F.coalesce("body", F.lit("")).alias("raw"))
+    decoded = raw.select("msg_id", text.unescape(F.col("raw")).alias("decoded"))
+    outer = decoded.select(
+        "msg_id",
+        urls.outer_urls(F.col("decoded"), text.strip_unescaped_html(F.col("decoded"))).alias("urls"),
     )
+    return outer.select("msg_id", F.explode(urls.nested_urls(F.col("urls"))).alias("url"))
 
 
 def extract_domains(spark, sf):
@@ -560,7 +570,7 @@ def smoke_scores(spark, sf):
 
 
 def oob_score(spark, sf):
-    return forest.oob_score(feature_table(spark, sf), ForestParams(num_trees=9))
+    return forest.oob_score(feature_table(spark, sf))
 
 
 # ---------------------------------------------------------------- TF-IDF and models
@@ -595,9 +605,23 @@ def tfidf_weights(spark, sf):
     return rounded(tfidf.fit(frame).long(frame), "weight")
 
 
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows by the stable bucket of the mail's id."""
+    key = F.md5(F.col("msg_id").cast("string"))
+    bucket = corpus.split_bucket(key)
+    params = SplitParams()
+    return (
+        rows.filter(bucket < params.train_end),
+        rows.filter((bucket >= params.train_end) & (bucket < params.val_end)),
+    )
+
+
 def train_text(spark, sf):
-    model = textmodel.train_text(prepared(spark, sf).filter("label IS NOT NULL"))
-    scores = model.score(prepared(spark, sf).filter("label IS NOT NULL"))
+    """Figures of the text model on mails it was not trained on."""
+    training, held_out = _split(labelled(spark, sf))
+    keep = ["msg_id", "label"]
+    model = textmodel.train_text(features.text_corpus(training, keep=keep))
+    scores = model.score(features.text_corpus(held_out, keep=keep))
     return metrics.eval_binary(metrics.with_prediction(scores, "score_text"))
 
 
@@ -610,11 +634,13 @@ def token_contrib(spark, sf):
 
 
 def train_meta(spark, sf):
-    table = forest.feature_table(
-        features.metadata_features(labelled(spark, sf), keep=["label"])
+    """Figures of the forest on mails it was not trained on."""
+    training, held_out = (
+        forest.feature_table(features.metadata_features(rows, keep=["label"]))
+        for rows in _split(labelled(spark, sf))
     )
-    model = forest.train_meta(table, ForestParams(num_trees=30))
-    return metrics.eval_binary(metrics.with_prediction(model.score(table), "score_meta"))
+    model = forest.train_meta(training)
+    return metrics.eval_binary(metrics.with_prediction(model.score(held_out), "score_meta"))
 
 
 def feature_importance(spark, sf):
@@ -632,9 +658,11 @@ def shap_meta(spark, sf):
 
 
 def _mail_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    documents = jobs.read_mails(spark, sf, schema, glob="documents.parquet")
-    return mail_tables.stream_mails(documents)
+    def stream(name):
+        schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+        return jobs.read_mails(spark, f"{sf}/{name}.parquet", schema)
+
+    return mail_tables.stream_mails(stream("documents"), stream("pages"))
 
 
 def stream_classify(spark, sf):
@@ -648,8 +676,14 @@ def stream_dedup(spark, sf):
 
 
 def stream_label_counts(spark, sf):
-    predictions = jobs.stream_classify(_mail_stream(spark, sf), keep=["msg_id", "event_ts"])
-    counts = jobs.drain(jobs.stream_label_counts(predictions), "stream-counts")
+    # several files with event times in no order, one to a batch
+    folder = work_folder(spark, "stream-mails")
+    arriving = mail_tables.with_event_time(mails(spark, sf))
+    arriving.repartition(4, "msg_id").write.parquet(folder)
+    stream = jobs.read_mails(spark, folder, arriving.schema, max_files=1)
+    predictions = jobs.stream_classify(stream, keep=["msg_id", "event_ts"])
+    keys = ["window_start", "window_end", "label", "gated"]
+    counts = jobs.drain_updates(jobs.stream_label_counts(predictions), keys, "stream-counts")
     return counts.select(
         F.unix_timestamp("window_start").alias("window_start"), "label", "gated", "n"
     )

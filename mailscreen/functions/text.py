@@ -57,7 +57,14 @@ def strip_comments(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, lx.HTML_TAG, " ")
+    """Replace tags of any length by a space.
+
+    What follows the last closing bracket holds no tag and is left out of the search, in
+    which every opening bracket therefore finds its end.
+    """
+    rest = F.substring_index(c, ">", -1)
+    head = F.substr(c, F.lit(1), F.length(c) - F.length(rest))
+    return F.concat(F.regexp_replace(head, lx.HTML_TAG, " "), rest)
 
 
 # ---------------------------------------------------------------- entities
@@ -222,11 +229,13 @@ def clean_subject(c: Column) -> Column:
 def prepare_text(
     subject_clean: Column, body_clean: Column, options: TextOptions = TextOptions()
 ) -> Column:
-    """Model input text: cleaned subject, separator and body, cut at the set length."""
+    """Model input text: cleaned subject, separator and body, cut only if a length is set."""
     text = body_clean
     if options.include_subject:
         joined = F.concat(subject_clean, F.lit(options.separator), body_clean)
         text = F.when(subject_clean != "", joined).otherwise(body_clean)
+    if options.max_text_length is None:
+        return text
     return F.substring(text, 1, options.max_text_length)
 
 
@@ -338,7 +347,8 @@ def count_exclaim(c: Column) -> Column:
 
 
 def has_html(raw_body: Column) -> Column:
-    return raw_body.rlike(lx.HTML_MARK)
+    before_last = F.length(raw_body) - F.length(F.substring_index(raw_body, ">", -1))
+    return F.substr(raw_body, F.lit(1), before_last).rlike(lx.HTML_MARK)
 
 
 def has_form(raw_body: Column) -> Column:

@@ -26,18 +26,23 @@ def nested_urls(urls: Column) -> Column:
     return F.flatten(F.transform(with_query, lambda u: find_urls(F.substr(u, F.locate("?", u)))))
 
 
-def urls_of(unescaped: Column, stripped: Column) -> Column:
-    """Distinct URLs of a mail, given its decoded body and its visible text.
+def outer_urls(unescaped: Column, stripped: Column) -> Column:
+    """Distinct URLs that stand in a mail, given its decoded body and its visible text.
 
     The decoded body shows link targets inside markup, the visible text whatever only
-    appears once markup is gone, and each URL found may carry further ones. Without
-    markup or a second layer of references the visible text holds no other URLs.
+    appears once markup is gone. Without markup or a second layer of references the
+    visible text holds no other URLs.
     """
     visible = F.when(
         F.contains(unescaped, F.lit("<")) | F.contains(unescaped, F.lit("&")),
         find_urls(stripped),
     ).otherwise(F.array().cast("array<string>"))
-    outer = F.array_distinct(F.concat(find_urls(unescaped), visible))
+    return F.array_distinct(F.concat(find_urls(unescaped), visible))
+
+
+def urls_of(unescaped: Column, stripped: Column) -> Column:
+    """Distinct URLs of a mail: those that stand in it, then those that they carry."""
+    outer = outer_urls(unescaped, stripped)
     return let(outer, lambda urls: F.array_distinct(F.concat(urls, nested_urls(urls))))
 
 

@@ -162,14 +162,20 @@ def require_columns(df: DataFrame, required: tuple[str, ...], what: str) -> Data
     return df
 
 
-def drop_bad_sources(df: DataFrame) -> DataFrame:
-    """Drop every source that holds an unreadable label.
+def bad_sources(frames: list[DataFrame]) -> set[str]:
+    """Names of the sources that hold an unreadable label.
 
-    The check reads two narrow columns and yields one row per registered source, so the
-    broadcast side is bounded by the registry, not by the data.
+    One aggregate over two narrow columns; one row per registered source comes back.
     """
-    bad = df.filter(F.col("label").isNull()).select("dataset_source").distinct()
-    return df.join(F.broadcast(bad), "dataset_source", "left_anti").select(df.columns)
+    labels = union_all([df.select("dataset_source", "label") for df in frames])
+    found = labels.groupBy("dataset_source").agg(F.bool_or(F.col("label").isNull()).alias("bad"))
+    return {r.dataset_source for r in found.filter("bad").collect()}
+
+
+def drop_bad_sources(df: DataFrame) -> DataFrame:
+    """Drop every source that holds an unreadable label, from a table of many sources."""
+    bad = bad_sources([df])
+    return df.filter(~F.col("dataset_source").isin(*bad)) if bad else df
 
 
 def filter_empty(df: DataFrame) -> DataFrame:
@@ -214,7 +220,10 @@ def unify_corpora(
     mapped = [unify_source(df, source_spec(name), keep) for name, df in frames.items()]
     for m in mapped:
         require_columns(m, lx.UNIFIED_COLUMNS, "a parsed source")
-    return order_cast(with_content_hash(filter_empty(drop_bad_sources(union_all(mapped)))), keep)
+    # decided before the union, so that a bad source is not read again
+    bad = bad_sources(mapped)
+    good = [m for m, name in zip(mapped, frames) if name not in bad]
+    return order_cast(with_content_hash(filter_empty(union_all(good))), keep)
 
 
 # ---------------------------------------------------------------- dedup and split
@@ -231,16 +240,26 @@ def dedup_by_hash(df: DataFrame, tie: str = "msg_id") -> DataFrame:
 
     An aggregate rather than a ranking window: each task first reduces its own copies,
     so a mail that makes up a third of the corpus reaches the shuffle as one row per
-    task instead of landing in one sort.
+    task instead of landing in one sort. Subject and body stay out of the aggregate; where
+    the frame has them, the winners fetch theirs by one semi-join. ``tie`` tells the
+    copies of one source apart.
     """
-    columns = [c for c in df.columns if c != "content_hash"]
+    texts = [c for c in ("subject", "body") if c in df.columns]
+    narrow = df.drop(*texts)
+    columns = [c for c in narrow.columns if c != "content_hash"]
     order = F.struct(source_priority(F.col("dataset_source")), F.col(tie))
-    best = df.groupBy("content_hash").agg(
-        F.min_by(F.struct(*columns), order).alias("row")
+    best = narrow.groupBy("content_hash").agg(F.min_by(F.struct(*columns), order).alias("row"))
+    best = best.select(*(F.col(f"row.{c}").alias(c) for c in columns), "content_hash")
+    if not texts:
+        return best.select(df.columns)
+    won = best.select(
+        F.col("content_hash").alias("_h"), F.col("dataset_source").alias("_s"), F.col(tie).alias("_t")
     )
-    return best.select(*(F.col(f"row.{c}").alias(c) for c in columns), "content_hash").select(
-        df.columns
+    same = (
+        (F.col("content_hash") == F.col("_h"))
+        & F.col("dataset_source").eqNullSafe(F.col("_s")) & F.col(tie).eqNullSafe(F.col("_t"))
     )
+    return df.join(won, same, "left_semi")
 
 
 def split_bucket(content_hash_col: Column, params: SplitParams = SplitParams()) -> Column:

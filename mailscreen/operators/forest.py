@@ -100,17 +100,20 @@ def train_meta(table: DataFrame, params: ForestParams = ForestParams()) -> Fores
 
 
 def oob_score(table: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
-    """Accuracy on rows the scoring trees have not seen.
+    """Accuracy on rows the scoring trees have not seen, by leaving out folds.
 
     Spark does not expose which rows a tree was bagged on, so the forest is grown in
     groups: each group leaves out one hash fold of the rows and votes on that fold.
     Identical rows share a fold, and together the groups have as many trees as the forest.
     """
     fold = F.pmod(F.xxhash64(*lx.FEATURES), F.lit(params.oob_folds))
-    per_group = max(1, params.num_trees // params.oob_folds)
     votes = None
     for g in range(params.oob_folds):
-        forest = _fit(table.filter(fold != g), params, per_group, params.seed + g)
+        # the first groups take one tree more where trees do not divide evenly
+        n_trees = params.num_trees // params.oob_folds + (g < params.num_trees % params.oob_folds)
+        if n_trees == 0:
+            continue
+        forest = _fit(table.filter(fold != g), params, n_trees, params.seed + g)
         held_out = feature_vector(table.filter(fold == g)).select("label", "features")
         scored = forest.transform(held_out).select("label", "prediction")
         votes = scored if votes is None else votes.unionByName(scored)

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import json
-import sys
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailscreen.functions import text
 from mailscreen.operators import corpus as corpora
@@ -21,17 +20,9 @@ from mailscreen.operators.scoring import SCORE_TEXT, Scorer
 from mailscreen.params import TextModelParams, TextOptions
 from mailscreen.session import work_folder
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SCHEMA_VERSION = "1.0"
 
 
-@F.arrow_udf(VectorUDT())
-def as_vector(parts: pa.Array) -> pa.Array:
-    """Relabel a struct in the vector layout as an ML vector; Arrow passes it through."""
-    return parts
-
-
 def sparse_parts(size: int) -> Column:
     """The ``tfidf`` column in the sparse layout of an ML vector."""
     return F.struct(
@@ -148,13 +139,14 @@ def train_text(
     weighted = corpora.with_class_weight(corpus.select("prepared_text", "label"))
     model.weigh(weighted).select(
         F.col("label").cast("double").alias("label"), "weight",
-        sparse_parts(len(model.terms)).alias("parts"),
+        sparse_parts(len(model.terms)).alias("features"),
     ).write.parquet(path)
-    vectors = (
-        spark.read.parquet(path)
-        .select("label", "weight", as_vector(F.col("parts")).alias("features"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # the stored layout is that of ML vectors, so they are read as such
+    schema = T.StructType([
+        T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType()),
+        T.StructField("features", VectorUDT()),
+    ])
+    vectors = spark.read.schema(schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lr = LogisticRegression(
             maxIter=params.max_iter,

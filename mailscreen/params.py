@@ -53,7 +53,8 @@ class TextOptions:
     """How mail text is cleaned and prepared for the text model."""
 
     fold_unicode: bool = True
-    max_text_length: int = lx.MAX_TEXT_LENGTH
+    # characters of prepared text that are kept; None keeps all
+    max_text_length: int | None = None
     separator: str = lx.TEXT_SEPARATOR
     include_subject: bool = True
     # The stock lexicon holds accented terms that folded text can never contain.
@@ -85,6 +86,10 @@ class ForestParams:
     def __post_init__(self) -> None:
         _at_least("num_trees", self.num_trees, 1)
         _at_least("max_depth", self.max_depth, 1)
+        # the nodes of the forest are held on the driver and sent to every task
+        if self.max_depth > 15 or self.num_trees * 2**self.max_depth > 1 << 22:
+            raise ValueError("at most 15 levels and 2^22 leaves, got "
+                             f"{self.num_trees} trees of depth {self.max_depth}")
         _at_least("min_leaf", self.min_leaf, 1)
         _at_least("max_bins", self.max_bins, 2)
         _at_least("oob_folds", self.oob_folds, 2)
@@ -107,6 +112,8 @@ class TextModelParams:
 
     def __post_init__(self) -> None:
         _at_least("max_features", self.max_features, 1)
+        if self.max_features > 1 << 20:  # the vocabulary is sent to every task
+            raise ValueError(f"at most 2^20 features, got {self.max_features}")
         _at_least("ngram_min", self.ngram_min, 1)
         _at_least("ngram_max", self.ngram_max, self.ngram_min)
         _at_least("min_df", self.min_df, 1)

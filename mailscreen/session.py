@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,13 +30,17 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path for written intermediates, on the cluster's shared checkpoint folder.
+    """A fresh path for written intermediates, in the shared folder the session names.
 
-    Only where the cluster names none (tests, one machine) is a temporary folder used.
+    That is `spark.checkpoint.dir`. Without it only a session on one machine (tests, bench)
+    can go on, in a folder of its own there; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="mailscreen-")
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), f"mailscreen-{context.applicationId}")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mailscreen import lexicons as lx
 from mailscreen.operators import forest, textmodel, tfidf
+from mailscreen.operators.scoring import HEURISTIC_META, HEURISTIC_TEXT
 from mailscreen.params import TextModelParams, TextOptions
 
 _MANIFEST = (
@@ -151,3 +152,9 @@ def model_info(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.size(F.coalesce("feature_names", F.array().cast("array<string>"))).alias("n_features"),
         F.lit(False).alias("is_heuristic"),
     )
+    # a kind without a saved model is scored by its heuristic
+    names = [("meta", HEURISTIC_META.name), ("text", HEURISTIC_TEXT.name)]
+    rules = spark.createDataFrame(names, "kind string, name string").join(info, "kind", "left_anti")
+    return info.unionByName(
+        rules.withColumn("is_heuristic", F.lit(True)), allowMissingColumns=True
+    )

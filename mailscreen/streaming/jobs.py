@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from mailscreen.operators.corpus import content_hash
 from mailscreen.operators.scoring import HEURISTIC_META, HEURISTIC_TEXT, Scorer
 from mailscreen.params import ScreenParams, TextOptions
 from mailscreen.plans import screen
-from mailscreen.session import too_few_partitions, work_folder
+from mailscreen.session import work_folder
 
 
 def read_mails(
@@ -20,19 +21,11 @@ def read_mails(
     glob: str = "*.parquet",
     max_files: int | None = None,
 ) -> DataFrame:
-    """Parquet files of a folder as an unbounded table.
-
-    Batches of few or small files are redistributed, so that they occupy every core; a
-    folder that already holds enough splits is read as it is, without a shuffle.
-    """
+    """Parquet files of a folder as an unbounded table, read as they are split."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.parquet(folder)
-    present = spark.read.schema(schema).option("pathGlobFilter", glob).parquet(folder)
-    if max_files is not None or too_few_partitions(present):
-        return stream.repartition(spark.sparkContext.defaultParallelism)
-    return stream
+    return reader.parquet(folder)
 
 
 def stream_classify(
@@ -72,12 +65,18 @@ def stream_label_counts(
     predictions: DataFrame,
     event_time: str = "event_ts",
     window: str = "1 hour",
-    delay: str = "10 minutes",
+    delay: str | None = None,
 ) -> DataFrame:
-    """Predicted labels and gate decisions per tumbling window; late rows are dropped."""
+    """Predicted labels and gate decisions per tumbling window.
+
+    Without a delay every mail is counted, however late; the state is one row per window
+    and label. With one, windows older than the watermark leave the state and mails that
+    arrive later still are dropped.
+    """
+    if delay is not None:
+        predictions = predictions.withWatermark(event_time, delay)
     return (
-        predictions.withWatermark(event_time, delay)
-        .groupBy(
+        predictions.groupBy(
             F.window(event_time, window).alias("w"),
             F.col("label_predicted").alias("label"),
             F.col("gating.activated").alias("gated"),
@@ -90,6 +89,30 @@ def stream_label_counts(
     )
 
 
+def drain_updates(stream: DataFrame, keys: list[str], purpose: str = "stream") -> DataFrame:
+    """Process everything available from an aggregate and return its latest rows.
+
+    Each batch appends the rows that it changed under its number, so a repeated batch
+    writes over its own folder; the row of the last batch holds for a key.
+    """
+    spark = stream.sparkSession
+    path = work_folder(spark, purpose)
+
+    def put(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(put)
+        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(path)
+    values = F.struct(*[c for c in stream.columns if c not in keys])
+    latest = rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("latest"))
+    return latest.select(*keys, "latest.*")
+
+
 def drain(stream: DataFrame, purpose: str = "stream") -> DataFrame:
     """Process everything available into a Parquet sink and read it back.
 

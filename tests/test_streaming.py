@@ -45,12 +45,28 @@ def test_stream_dedup_over_several_batches(spark, tmp_path):
     assert sorted(bodies) == sorted({r.body for r in df.collect()})
 
 
-def test_stream_counts_close_windows_only(spark, tmp_path):
+KEYS = ["window_start", "window_end", "label", "gated"]
+
+
+def counts(spark, folder, schema, **settings):
+    stream = jobs.read_mails(spark, folder, schema, max_files=1)
+    predictions = jobs.stream_classify(stream, keep=["msg_id", "event_ts"])
+    rows = jobs.stream_label_counts(predictions, window="30 minutes", **settings)
+    return jobs.drain_updates(rows, KEYS).collect()
+
+
+def test_stream_counts_every_mail_once(spark, tmp_path):
     folder = str(tmp_path / "in")
     df = mails(spark, folder)
-    stream = jobs.read_mails(spark, folder, df.schema, max_files=1)
-    predictions = jobs.stream_classify(stream, keep=["msg_id", "event_ts"])
-    rows = jobs.drain(jobs.stream_label_counts(predictions, window="30 minutes")).collect()
-    # the last mail is at 01:59, so windows ending after 01:49 stay open
-    assert sum(r.n for r in rows) == 90
-    assert {r.window_start for r in rows} == {START + timedelta(minutes=30 * k) for k in range(3)}
+    # a late file that reaches back over all windows
+    df.filter("msg_id % 10 = 0").coalesce(1).write.mode("append").parquet(folder)
+    rows = counts(spark, folder, df.schema)
+    assert sum(r.n for r in rows) == 132
+    assert {r.window_start for r in rows} == {START + timedelta(minutes=30 * k) for k in range(4)}
+    assert len({(r.window_start, r.label, r.gated) for r in rows}) == len(rows)
+
+
+def test_stream_counts_with_a_delay_bound_their_state(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    df = mails(spark, folder)
+    assert sum(r.n for r in counts(spark, folder, df.schema, delay="10 minutes")) == 120
