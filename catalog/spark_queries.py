@@ -116,19 +116,47 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- sources and sinks
 
 
-def src_csv(spark, sf):
+def _csv_corpus(spark, sf):
+    """A corpus as part files: two column orders, one file in Latin-1, malformed lines."""
     folder = work_folder(spark, "csv")
     spec = corpus.source_spec("CEAS_08")
     frame = mail_tables.corpus_frame(spark, sf, "CEAS_08")
-    (
-        frame.write.option("header", True).option("escape", '"').option("quoteAll", True)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(f"{folder}/{spec.filename}")
+    latin = F.col("body").rlike(r"^[\x00-\xFF]*\z") & F.col("subject").rlike(r"^[\x00-\xFF]*\z")
+    latin = latin & ~F.col("body").rlike(r"^[\x00-\x7F]*\z")
+
+    def put(rows, *columns, encoding="UTF-8"):
+        (
+            rows.select(*columns).write.mode("append").option("header", True)
+            .option("escape", '"').option("quoteAll", True).option("encoding", encoding)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{folder}/{spec.filename}")
+        )
+
+    put(frame.filter(~latin & (F.col("msg_id") % 4 == 0)), "msg_id", "subject", "body", "label")
+    put(frame.filter(~latin & (F.col("msg_id") % 4 != 0)), "label", "body", "msg_id", "subject")
+    put(frame.filter(latin), "msg_id", "subject", "body", "label", encoding="ISO-8859-1")
+    lines = frame.filter(F.col("msg_id") % 10 == 0).select(
+        F.concat(F.col("msg_id"), F.lit(",a,b,0,one cell too many")).alias("value")
     )
-    raw = csv_corpora.load_source(spark, spec, folder)
+    header = spark.createDataFrame([("msg_id,subject,body,label",)], "value string").coalesce(1)
+    header.union(lines.coalesce(1)).coalesce(1).write.mode("append").text(f"{folder}/{spec.filename}")
+    return csv_corpora.load_parts(spark, spec, folder)
+
+
+def src_csv(spark, sf):
+    raw, _ = _csv_corpus(spark, sf)
     return raw.select(F.col("msg_id").cast("bigint"), "subject", "body", "label")
 
 
+def src_csv_rejects(spark, sf):
+    """The rows that do not fit their header."""
+    _, malformed = _csv_corpus(spark, sf)
+    return malformed.select(
+        F.get("cells", F.lit(0)).cast("bigint").alias("msg_id"),
+        F.size("cells").alias("n_cells"), F.element_at("cells", -1).alias("surplus"),
+    )
+
+
 def src_registry(spark, sf):
     wanted = [s.name for s in corpus.select_sources(["CEAS_08", "Nazario"])]
     return (
@@ -660,7 +688,8 @@ def shap_meta(spark, sf):
 def _mail_stream(spark, sf):
     def stream(name):
         schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-        return jobs.read_mails(spark, f"{sf}/{name}.parquet", schema)
+        # a pattern stands for one file as well as for a folder of part files
+        return jobs.read_mails(spark, f"{sf}/{name}.parque[t]", schema)
 
     return mail_tables.stream_mails(stream("documents"), stream("pages"))
 
@@ -691,6 +720,7 @@ def stream_label_counts(spark, sf):
 
 QUERIES = {
     "src_csv": src_csv,
+    "src_csv_rejects": src_csv_rejects,
     "src_registry": src_registry,
     "src_parquet_split": src_parquet_split,
     "sink_parquet": sink_parquet,

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import logging
+import re
+from functools import partial, reduce
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen import lexicons as lx
 from mailscreen.operators import corpus
 from mailscreen.operators.corpus import SourceSpec
+from mailscreen.session import work_folder
 
 log = logging.getLogger(__name__)
 
-_SURPLUS = "_surplus_cell"
+_SURPLUS, _FILE = "_surplus_cell", "_source_file"
 # A quoted cell may span lines, so Spark parses one file in one task.
 _LARGE_FILE = 8 << 30
 
@@ -33,47 +39,68 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return found
 
 
-def detect_encoding(spark: SparkSession, path: str, declared: str = "UTF-8") -> str:
-    """The declared encoding, or Latin-1 if UTF-8 was declared and some line is not UTF-8."""
-    if declared.upper().replace("-", "") != "UTF8":
-        return declared
-    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
-    if broken.isEmpty():
-        return "UTF-8"
-    log.warning("%s is not valid UTF-8; reading it as Latin-1", path)
-    return "ISO-8859-1"
+def not_utf8(spark: SparkSession, files: list[str]) -> set[str]:
+    """The files that hold a line which is not UTF-8, decided for each by itself."""
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"))
+    broken = lines.filter(~F.is_valid_utf8("value")).select("file").distinct().collect()
+    return {_plain(r.file) for r in broken}
+
+
+def _plain(path: str) -> str:
+    """A file's path without the variants of writing its scheme, percent-decoded."""
+    return unquote(re.sub(r"^file:/*", "/", path))
 
 
 def read_csv(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ","
+    spark: SparkSession, files: list[str], encoding: str = "UTF-8", sep: str = ","
 ) -> tuple[DataFrame, DataFrame]:
-    """All-string rows of a CSV, and the malformed rows set aside.
+    """All-string rows of CSV files, and the malformed rows set aside as (file, cells).
 
-    A row with more cells than the header is malformed; one with fewer is padded with
+    Every file is read by its own header and, where UTF-8 is declared, as Latin-1 if it is
+    not UTF-8; files that agree in both are read together, and columns meet by name. A
+    row with more cells than its header is malformed; one with fewer is padded with
     nulls. The usual spellings of a missing cell become null.
     """
     reader = (
         spark.read.option("header", True).option("multiLine", True).option("sep", sep)
-        .option("quote", '"').option("escape", '"').option("encoding", encoding)
-        .option("inferSchema", False)
+        .option("quote", '"').option("escape", '"').option("inferSchema", False)
         # keep empty cells apart from absent ones until the surplus check is done
         .option("nullValue", "\x00").option("emptyValue", "").option("maxCharsPerColumn", -1)
     )
-    columns = reader.csv(path).columns
-    schema = ", ".join(f"`{c}` string" for c in [*columns, _SURPLUS])
-    rows = reader.option("mode", "PERMISSIVE").schema(schema).csv(path)
-    malformed = rows.filter(F.col(f"`{_SURPLUS}`").isNotNull())
-    good = rows.filter(F.col(f"`{_SURPLUS}`").isNull()).select(
-        *(
+    declared_utf8 = encoding.upper().replace("-", "") == "UTF8"
+    latin = not_utf8(spark, files) if declared_utf8 else set()
+    groups: dict[tuple, list[str]] = {}
+    for name in files:
+        actual = "ISO-8859-1" if _plain(name) in latin else encoding
+        if actual != encoding:
+            log.warning("%s is not valid UTF-8; reading it as Latin-1", name)
+        columns = tuple(reader.option("encoding", actual).csv(name).columns)
+        groups.setdefault((actual, columns), []).append(name)
+
+    good, malformed = [], []
+    for (actual, columns), names in groups.items():
+        schema = ", ".join(f"`{c}` string" for c in [*columns, _SURPLUS])
+        rows = reader.option("encoding", actual).option("mode", "PERMISSIVE").schema(schema)
+        rows = rows.csv(names).withColumn(_FILE, F.col("_metadata.file_path"))
+        surplus = F.col(_SURPLUS).isNotNull()
+        cells = F.array(*[F.col(f"`{c}`") for c in [*columns, _SURPLUS]])
+        malformed.append(rows.filter(surplus).select(F.col(_FILE).alias("file"), cells.alias("cells")))
+        good.append(rows.filter(~surplus).select(*(
             F.when(~F.col(f"`{c}`").isin(*lx.MISSING_CELLS), F.col(f"`{c}`")).alias(c)
             for c in columns
-        )
-    )
-    return good, malformed
+        )))
+    by_name = partial(DataFrame.unionByName, allowMissingColumns=True)
+    return reduce(by_name, good), reduce(DataFrame.unionByName, malformed)
 
 
-def load_source(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFrame | None:
-    """One corpus as raw frame, or None (with a log entry) if it cannot be read."""
+def load_parts(
+    spark: SparkSession, spec: SourceSpec, raw_dir: str
+) -> tuple[DataFrame, DataFrame] | None:
+    """One corpus as raw rows and set-aside rows, or None (with a log entry).
+
+    None is for a corpus that is absent or cannot be planned; a file that turns out to be
+    unreadable while it is read ends the job.
+    """
     path = f"{raw_dir.rstrip('/')}/{spec.filename}"
     try:
         files = _files(spark, path)
@@ -86,23 +113,47 @@ def load_source(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFram
                     "[%s] %s has %.1f GB and is parsed by one task; deliver it as a "
                     "directory of part files to read it in parallel", spec.name, name, size / 1e9,
                 )
-        encoding = detect_encoding(spark, path, spec.encoding)
-        good, _ = read_csv(spark, path, encoding, spec.sep)
-        return good
-    except Exception as error:  # one unreadable corpus must not stop the others
+        return read_csv(spark, [name for name, _ in files], spec.encoding, spec.sep)
+    except (AnalysisException, Py4JJavaError) as error:  # the other corpora go on
         log.error("[%s] cannot read %s: %s", spec.name, path, error)
         return None
 
 
+def load_source(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFrame | None:
+    parts = load_parts(spark, spec, raw_dir)
+    return None if parts is None else parts[0]
+
+
+def landed(df: DataFrame, purpose: str) -> DataFrame:
+    """Parse once: the rows as a written table, for the label check and the result."""
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_unified(
-    spark: SparkSession, raw_dir: str, names: list[str] | None = None
+    spark: SparkSession, raw_dir: str, names: list[str] | None = None,
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Read, map, check, hash and concatenate the registered corpora (or a subset)."""
+    """Read, map, check, hash and concatenate the registered corpora (or a subset).
+
+    Malformed rows are counted in the log for each source, and written below ``rejects``
+    if that is given.
+    """
     frames = {}
     for spec in corpus.select_sources(names):
-        df = load_source(spark, spec, raw_dir)
-        if df is not None:
-            frames[spec.name] = df
+        parts = load_parts(spark, spec, raw_dir)
+        if parts is None:
+            continue
+        rows, malformed = parts
+        frames[spec.name] = landed(rows, f"csv-{spec.name}")
+        if rejects is not None:
+            path = f"{rejects.rstrip('/')}/dataset_source={spec.name}"
+            malformed.write.mode("overwrite").parquet(path)
+            malformed = spark.read.schema(malformed.schema).parquet(path)
+        n_rejected = malformed.count()
+        if n_rejected:
+            log.warning("[%s] %d malformed rows were set aside", spec.name, n_rejected)
     if not frames:
         raise RuntimeError(f"no source could be read from {raw_dir}")
     return corpus.unify_corpora(frames)

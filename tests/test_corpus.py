@@ -56,10 +56,48 @@ def test_build_unified(spark, raw):
 
 
 def test_malformed_rows_are_set_aside(spark, raw):
-    _, malformed = csv_corpora.read_csv(spark, str(raw / "CEAS_08.csv"))
+    _, malformed = csv_corpora.read_csv(spark, [str(raw / "CEAS_08.csv")])
     assert malformed.count() == 1
 
 
+def test_set_aside_rows_are_written(spark, raw, tmp_path):
+    csv_corpora.build_unified(spark, str(raw), ["CEAS_08"], rejects=str(tmp_path / "rejects"))
+    rows = spark.read.parquet(str(tmp_path / "rejects")).collect()
+    assert [r.dataset_source for r in rows] == ["CEAS_08"] and len(rows[0].cells) > 3
+
+
+def test_part_files_of_different_order_and_encoding(spark, tmp_path):
+    folder = tmp_path / "CEAS_08.csv"
+    folder.mkdir()
+    write(folder, "part-0.csv", "subject,body,label\ns0,b0 é,0\n")
+    write(folder, "part 1.csv", "label,subject,body\n1,s1,b1 é\n", "latin-1")
+    write(folder, "part-2.csv", "body,label,subject,more\nb2,1,s2,x\n")
+    spec = corpus.source_spec("CEAS_08")
+    rows, malformed = csv_corpora.load_parts(spark, spec, str(tmp_path))
+    assert sorted(map(tuple, rows.select("subject", "body", "label", "more").collect())) == [
+        ("s0", "b0 é", "0", None), ("s1", "b1 é", "1", None), ("s2", "b2", "1", "x"),
+    ]
+    assert malformed.count() == 0
+
+
+def test_no_text_is_shuffled_to_find_copies(spark, sf_dir):
+    from catalog.spark_queries import QUERIES
+
+    for name in ("dedup_by_hash", "stratified_split", "class_balance"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        shuffled = plan[: plan.rindex("Exchange hashpartitioning(content_hash")]
+        for line in shuffled.split("\n"):
+            assert "body#" not in line and "subject#" not in line, line
+
+
+def test_dedup_of_whole_rows(spark):
+    rows = [(1, "Ling", "s", "b", 0, "h"), (2, "CEAS_08", "s", "b", 1, "h"), (3, "x", "t", "c", 0, "k")]
+    df = spark.createDataFrame(
+        rows, "msg_id int, dataset_source string, subject string, body string, label int, content_hash string"
+    )
+    assert sorted(map(tuple, corpus.dedup_by_hash(df).collect())) == rows[1:]
+
+
 def test_subset_and_missing_sources(spark, raw, tmp_path_factory):
     some = csv_corpora.build_unified(spark, str(raw), ["Enron", "Nazario"])
     assert {r.dataset_source for r in some.collect()} == {"Enron", "Nazario"}

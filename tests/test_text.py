@@ -93,6 +93,24 @@ def test_prepare_text(spark):
     assert run(TextOptions(max_text_length=3, separator="-")) == ["s-b", "b", "s-"]
 
 
+def test_the_end_of_a_long_mail_counts(spark):
+    from mailscreen.operators import features, scoring
+
+    body = "plain words " * 2_500 + "urgent"
+    df = spark.createDataFrame([(1, "", body)], "msg_id int, subject string, body string")
+    prepared = features.text_corpus(df, keep=["msg_id"])
+    assert len(prepared.first().prepared_text) == len(body) > 30_000
+    assert scoring.HEURISTIC_TEXT.apply(prepared).first().score_text > 0
+
+
+def test_tags_of_any_length(one):
+    long = '<img src="data:' + "A" * 5_000 + '">'
+    assert one(text.strip_tags, f"a{long}b", "a < b > c <d", "<a" * 20_000, "x>y") == [
+        "a b", "a < b > c <d", "<a" * 20_000, "x>y"
+    ]
+    assert one(text.has_html, long, "<a" * 20_000, "1 <2> 3", "a > <b") == [True, False, False, False]
+
+
 def test_term_counts_are_distinct_substrings(one):
     cases = ["URGENT urgent", "groups on Saturday", "click here now", ""]
     assert one(text.count_urgency, *cases) == [1, 0, 2, 0]
