@@ -633,7 +633,7 @@ def tfidf_weights(spark, sf):
     return rounded(tfidf.fit(frame).long(frame), "weight")
 
 
-def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_mails(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows by the stable bucket of the mail's id."""
     key = F.md5(F.col("msg_id").cast("string"))
     bucket = corpus.split_bucket(key)
@@ -646,7 +646,7 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def train_text(spark, sf):
     """Figures of the text model on mails it was not trained on."""
-    training, held_out = _split(labelled(spark, sf))
+    training, held_out = split_mails(labelled(spark, sf))
     keep = ["msg_id", "label"]
     model = textmodel.train_text(features.text_corpus(training, keep=keep))
     scores = model.score(features.text_corpus(held_out, keep=keep))
@@ -665,7 +665,7 @@ def train_meta(spark, sf):
     """Figures of the forest on mails it was not trained on."""
     training, held_out = (
         forest.feature_table(features.metadata_features(rows, keep=["label"]))
-        for rows in _split(labelled(spark, sf))
+        for rows in split_mails(labelled(spark, sf))
     )
     model = forest.train_meta(training)
     return metrics.eval_binary(metrics.with_prediction(model.score(held_out), "score_meta"))

@@ -102,9 +102,11 @@ def shap_values(x: np.ndarray, groups: list[PathGroup]) -> np.ndarray:
                 for k in range(depth)
             ]
         )
-        target = np.zeros((depth, n_paths, x.shape[1]))
+        # paths in order of the feature at each place, and where each feature begins
+        sums = []
         for i in range(depth):
-            target[i, np.arange(n_paths), feature[:, i]] = 1.0
+            order = np.argsort(feature[:, i], kind="stable")
+            sums.append((order, *np.unique(feature[order, i], return_index=True)))
         step = max(1, _CELLS // n_paths)
         for start in range(0, len(x), step):
             rows = x[start : start + step]
@@ -125,7 +127,9 @@ def shap_values(x: np.ndarray, groups: list[PathGroup]) -> np.ndarray:
                 for k in range(depth - 1, -1, -1):
                     carry = np.where(hit, poly[k + 1] - stay * carry, poly[k] / stay)
                     total += weights[k] * carry
-                out[start : start + step] += (leaf * (hit - stay) * total) @ target[i]
+                order, columns, starts = sums[i]
+                parts = (leaf * (hit - stay) * total)[:, order]
+                out[start : start + step, columns] += np.add.reduceat(parts, starts, axis=1)
     return out
 
 
