@@ -1,10 +1,13 @@
 """Quality by weak supervision: rules vote, expectation-maximisation weighs them.
 
-Each rule votes for good, for bad, or abstains. A document is good or bad, unseen; given
-that, rules vote independently, each with its own rates. Expectation-maximisation finds
-the rates and the share of good documents from the votes alone, and a document's
-posterior probability of being good decides, where all-must-pass filtering would let
-every rule reject by itself.
+Each rule votes for good, for bad, or abstains. A document is good or bad in one of a few
+kinds, unseen; given that, rules vote independently, each with its own rates.
+Expectation-maximisation finds the rates and the share of each class from the votes alone,
+and a document's posterior probability of being good decides, where all-must-pass
+filtering would let every rule reject by itself. Kinds are needed because a shouting
+document does not repeat itself: with one class for all that is bad, the good votes of the
+rules that look for something else would clear it. Every kind is seen by several rules, so
+that a single vote does not make one.
 
 The votes of a document are one of at most 3^rules patterns. Spark counts the patterns,
 and the iteration runs on that bounded table on the driver, over the votes of all
@@ -53,6 +56,12 @@ def _vote(value: Column, good_upto: float, bad_from: float) -> Column:
     return F.when(F.col("n_words") > 0, vote).otherwise(ABSTAIN).cast("int")
 
 
+RULE_NAMES = (
+    "symbols", "plain_words", "capitals", "exclamations", "repeats", "same_next", "distinct",
+    "line_copies", "line_ends",
+)
+
+
 def rules() -> dict[str, Column]:
     """Votes by name; bounds are shares of words or lines."""
     return {
@@ -70,37 +79,52 @@ def rules() -> dict[str, Column]:
     }
 
 
+# the kinds of bad documents, and the rules that see each of them
+BAD_KINDS = {
+    "marked up": ("symbols", "plain_words"),
+    "shouting": ("capitals", "exclamations", "plain_words"),
+    "repeating": ("repeats", "same_next", "distinct", "line_copies"),
+    "listing": ("line_ends", "plain_words"),
+}
+
+
 def fit(patterns: np.ndarray, counts: np.ndarray, params: VoteParams) -> tuple:
-    """(share of good, rates[class, rule, vote]) from distinct vote patterns.
+    """(shares[class], rates[class, rule, vote]) from distinct vote patterns.
 
-    Class 0 is bad, class 1 good; votes are indexed bad, abstain, good.
+    Class 0 is good, the others are BAD_KINDS; votes are indexed bad, abstain, good.
     """
-    n_rules = patterns.shape[1]
+    prior = np.empty((1 + len(BAD_KINDS), len(RULE_NAMES), 3))
+    prior[:] = [0.02, 0.08, 0.90]
+    for k, seen_by in enumerate(BAD_KINDS.values(), start=1):
+        for name in seen_by:
+            prior[k, RULE_NAMES.index(name)] = [0.70, 0.10, 0.20]
+    share_prior = np.array([0.8] + [0.2 / len(BAD_KINDS)] * len(BAD_KINDS))
     votes = np.stack([patterns == v for v in (BAD, ABSTAIN, GOOD)], axis=2).astype(float)
-    prior = np.empty((2, n_rules, 3))
-    prior[0] = np.array([0.5, 0.2, 0.3]) * params.prior_weight
-    prior[1] = np.array([0.02, 0.08, 0.9]) * params.prior_weight
-    # start: every vote for bad makes a document doubtful
-    n_bad = (patterns == BAD).sum(axis=1)
-    good = np.where(n_bad == 0, 0.95, 0.4 / np.maximum(n_bad, 1))
-    share, rates = 0.8, prior / prior.sum(axis=2, keepdims=True)
+    shares, rates = share_prior, prior
+    parts = class_posteriors(patterns, shares, rates)
     for _ in range(params.rounds):
-        weight = np.stack([(1 - good) * counts, good * counts])
-        mass = np.einsum("cp,prv->crv", weight, votes) + prior
+        weight = parts * counts
+        mass = np.einsum("cp,prv->crv", weight, votes) + prior * params.prior_weight
         rates = mass / mass.sum(axis=2, keepdims=True)
-        share = (weight[1].sum() + 8) / (counts.sum() + 10)
-        before, good = good, posterior(patterns, share, rates)
-        if len(good) == 0 or np.abs(good - before).max() < params.tolerance:
+        shares = weight.sum(axis=1) + share_prior * 10
+        shares = shares / shares.sum()
+        before, parts = parts, class_posteriors(patterns, shares, rates)
+        if parts.size == 0 or np.abs(parts - before).max() < params.tolerance:
             break
-    return share, rates
+    return shares, rates
 
 
-def posterior(patterns: np.ndarray, share: float, rates: np.ndarray) -> np.ndarray:
-    logs = np.log(rates)
+def class_posteriors(patterns: np.ndarray, shares: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """[class, pattern] probabilities."""
     rule = np.arange(patterns.shape[1])
-    bad = np.log(1 - share) + logs[0, rule, patterns + 1].sum(axis=1)
-    good = np.log(share) + logs[1, rule, patterns + 1].sum(axis=1)
-    return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
+    logs = np.log(shares)[:, None] + np.log(rates)[:, rule, patterns + 1].sum(axis=2)
+    logs -= logs.max(axis=0, keepdims=True)
+    weight = np.exp(logs)
+    return weight / weight.sum(axis=0, keepdims=True)
+
+
+def posterior(patterns: np.ndarray, shares: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    return class_posteriors(patterns, shares, rates)[0]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -109,7 +133,8 @@ def measured(docs: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.columns if c not in _ADDED], "counts.*"
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    votes = F.array(*rules().values())
+    by_name = rules()
+    votes = F.array(*[by_name[name] for name in RULE_NAMES])
     return counted.withColumn("base_failed", failed).withColumn("votes", votes)
 
 
@@ -123,19 +148,18 @@ _ADDED = {
 def judged(rows: DataFrame, params: VoteParams = VoteParams()) -> DataFrame:
     """Add p_good and kept to a written frame of `measured` documents."""
     seen = rows.groupBy("votes").count().orderBy("votes").collect()  # at most 3^rules rows
-    patterns = np.array([r.votes for r in seen], dtype=np.int64).reshape(-1, len(rules()))
+    patterns = np.array([r.votes for r in seen], dtype=np.int64).reshape(-1, len(RULE_NAMES))
     counts = np.array([r["count"] for r in seen], dtype=float)
-    share, rates = fit(patterns, counts, params)
-    # log odds of good: the prior's, plus one term for each rule's vote
-    terms = [F.lit(float(np.log(share / (1 - share))))]
-    for i in range(len(rules())):
-        odds = np.log(rates[1, i] / rates[0, i])
-        table = F.array(*[F.lit(float(x)) for x in odds])
-        terms.append(F.get(table, F.get("votes", F.lit(i)) + 1))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    p_good = 1 / (1 + F.exp(-total))
+    shares, rates = fit(patterns, counts, params)
+    # odds of each kind of bad against good: the shares', times one factor for each vote
+    against = F.lit(0.0)
+    for kind in range(1, len(shares)):
+        total = F.lit(float(np.log(shares[kind] / shares[0])))
+        for i in range(len(RULE_NAMES)):
+            table = F.array(*[F.lit(float(x)) for x in np.log(rates[kind, i] / rates[0, i])])
+            total = total + F.get(table, F.get("votes", F.lit(i)) + 1)
+        against = against + F.exp(total)
+    p_good = 1 / (1 + against)
     return rows.withColumn("p_good", p_good).withColumn(
         "kept", ~F.col("base_failed") & (F.col("p_good") >= params.keep_from)
     )
