@@ -78,4 +78,18 @@ SIDEBAR = f"""
 <div class="banner">{_LONG}</div><div id="footer">{_MIDDLE}</div></body>
 """
 
-PAGES = [ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR]
+STACKED = f"""
+<body><div><h1>[+]A new roof</h1></div><div>[+]{_LONG}</div><div>[+]{_LONG}</div>
+<div class="comments"><p>{_LONG}</p><p>{_LONG} {_MIDDLE}</p></div><aside>{_LONG}</aside>
+<div>[+]{_LONG} {_MIDDLE}</div><div class="cookie-banner">{_LONG}</div><div>[+]{_LONG}</div>
+<form><p>{_LONG}</p></form><div>[+]{_MIDDLE} {_LONG}</div><nav>{_LONG}</nav>
+<div>[+]{_LONG}</div><footer>{_LONG}</footer><div class="ad">{_LONG}</div></body>
+"""
+
+FRAMED = f"""
+<body><main><p>[+]{_LONG}</p><p>[+]{_LONG}</p></main>
+<div class="comments"><p>{_LONG}</p></div><aside>{_LONG}</aside><footer>{_LONG}</footer>
+<section class="newsletter"><p>{_LONG}</p></section></body>
+"""
+
+PAGES = [ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR, STACKED, FRAMED]
