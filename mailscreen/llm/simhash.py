@@ -204,6 +204,9 @@ def components(docs: DataFrame) -> DataFrame:
         "fp", F.coalesce("root", "fp").alias("root"),
         F.coalesce("linked_id", "first_id").alias("component_id"),
     )
+    # read anew, so that both sides of the last join are dealt out for it and a
+    # fingerprint that many documents share can be split
+    known = written(known, "simhash-known")
     return rows.join(known, "fp").select(
         "doc_id", "text_hash", "root",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
