@@ -63,6 +63,7 @@ LAYOUT_NAMES = set(
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after",
     "link_density_after", "in_main", "in_boiler", "named_boiler", "is_heading", "in_head",
+    "clear_main", "any_boiler",
 )
 
 _HIDDEN = "|".join(HIDDEN_TAGS)
@@ -171,7 +172,9 @@ def described(page: str) -> list[tuple[str, list[float]]]:
     for i, (text, own) in enumerate(found):
         before = found[i - 1][1][:2] if i else none
         after = found[i + 1][1][:2] if i + 1 < len(found) else none
-        out.append((text, [*own[:2], *before, *after, *own[2:]]))
+        main, boiler, named = own[2:5]
+        clear = [int(main and not boiler and not named), int(boiler or named)]
+        out.append((text, [*own[:2], *before, *after, *own[2:], *clear]))
     return out
 
 

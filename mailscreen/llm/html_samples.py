@@ -92,4 +92,14 @@ FRAMED = f"""
 <section class="newsletter"><p>{_LONG}</p></section></body>
 """
 
-PAGES = [ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR, STACKED, FRAMED]
+# articles with nothing after them, of few words, or of links
+BARE = [
+    f"<article><p>[+]{_LONG}</p><p>[+]{_SHORT}</p></article>",
+    f"<article><h1>[+]One</h1><p>[+]{_MIDDLE}</p></article>",
+    "<main><h1>[+]Sources</h1><p>[+]<a href=/x>The whole list</a></p><p>[+]<a href=/y>Maps</a></p></main>",
+    "<article><h1>[+]Closed</h1></article>",
+    f"<main><ul><li>[+]<a href=/1>Salt</a></li><li>[+]<a href=/2>Flour</a></li></ul><p>[+]{_SHORT}</p></main>",
+    f"<article><p>[+]<a href=/a>{_MIDDLE}</a></p></article>",
+]
+
+PAGES = [ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR, STACKED, FRAMED, *BARE]

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import io
+import random
 import re
 import struct
 
@@ -49,6 +50,18 @@ def test_tree_fits_its_labelled_table(tree):
         assert html_extract.main_text(page.replace("[+]", ""), tree).split("\n") == marked
 
 
+def test_what_encloses_a_block_decides_first(tree):
+    draw = random.Random(4)
+    names = html_extract.FEATURES
+    for _ in range(3000):
+        x = [draw.choice([0, 0.1, 0.3, 0.5, 1, 2, 5, 17, 60, 400]) for _ in names[:6]]
+        inside = [*x, 1, 0, 0, draw.randrange(2), 0, 1, 0]
+        assert html_extract.is_main(inside, tree)
+        boiler = draw.choice([(1, 0), (0, 1), (1, 1)])
+        outside = [*x, draw.randrange(2), *boiler, draw.randrange(2), 0, 0, 1]
+        assert not html_extract.is_main(outside, tree)
+
+
 def test_unseen_layouts(tree):
     long = "It took the whole of that year before anyone asked where the money had come from. " * 3
     page = f"""<body class="has-sidebar"><div role="navigation"><a href=/>Home</a></div>
