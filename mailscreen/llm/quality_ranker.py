@@ -4,12 +4,13 @@ The probability that document a is better than b is the logistic function of the
 difference of their scores, and a score is linear in features of the text. Weights come
 from preference pairs, a document labelled 1 over one labelled 0, by logistic loss on the
 difference of their features: a logistic regression without intercept, trained by Spark.
-The threshold is the quantile of training scores at the share of label 0, and scores are
-shifted and squashed so that this quantile becomes `cut`.
+The threshold is the quantile of training scores at the share of label 0, over all labelled
+training rows, and scores are shifted and squashed so that this quantile becomes `cut`.
 
 Only rows that are not held out are learnt from; held out are ids whose CRC-32 as text is
-0 modulo 5. The training sample is bounded by `sample` rows of each label, the ones with
-the smallest hash of their id, and each row of the rarer kind meets `partners` others.
+0 modulo 5. The sample that weights are fitted on is bounded by `sample` rows of each label,
+the ones with the smallest hash of their id, and each row of the rarer kind meets `partners`
+others. Label counts and the quantile know no sample.
 Scores are computed for every document. Features are ratios of the text alone.
 
 Defined results: null or empty texts are scored by their zero features; null ids are not
@@ -38,6 +39,9 @@ class RankParams:
     cut: float = 0.3
     seed: int = 11
 
+# bins that a round of `at_rank` brings to the driver
+_BINS = 4096
+
 
 def features() -> Column:
     """Features of a row that has the counts of `text_counts`."""
@@ -73,10 +77,14 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def training_sample(rows: DataFrame, labels: DataFrame, params: RankParams) -> DataFrame:
-    """(quality, place, x): bounded, with places from 0 within each label."""
+def training_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, x, quality) of every labelled row that is not held out."""
     labelled = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    joined = rows.join(labelled.select("doc_id", "quality"), "doc_id")
+    return rows.join(labelled.select("doc_id", "quality"), "doc_id")
+
+
+def training_sample(joined: DataFrame, params: RankParams) -> DataFrame:
+    """(quality, place, x): bounded, with places from 0 within each label."""
     draw = F.xxhash64("doc_id", F.lit(params.seed))
     chosen = None
     for value in (0, 1):
@@ -89,11 +97,15 @@ def training_sample(rows: DataFrame, labels: DataFrame, params: RankParams) -> D
     return chosen.select("quality", place.alias("place"), "x")
 
 
-def fit(sample: DataFrame, params: RankParams) -> tuple[list[float], float]:
-    """(weights, quantile): scores are weights * x, the quantile is their threshold."""
-    n = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}
+def label_counts(rows: DataFrame) -> dict[int, int]:
+    return {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
+
+
+def fit(sample: DataFrame, params: RankParams) -> list[float]:
+    """Weights; scores are weights * x."""
+    n = label_counts(sample)
     if len(n) < 2:
-        return [], 0.0
+        return []
     rare = min(n, key=n.get)
     few, many = sample.filter(F.col("quality") == rare), sample.filter(F.col("quality") != rare)
     met = few.select("place", F.col("x").alias("a"), F.explode(
@@ -113,10 +125,41 @@ def fit(sample: DataFrame, params: RankParams) -> tuple[list[float], float]:
     model = LogisticRegression(
         fitIntercept=False, standardization=True, regParam=params.regularisation, maxIter=100
     ).fit(pairs)
-    weights = [float(w) for w in model.coefficients]
-    scores = sample.select(_linear(weights).alias("s"))
-    share = n[0] / (n[0] + n[1])
-    return weights, scores.approxQuantile("s", [share], 0.0)[0]
+    return [float(w) for w in model.coefficients]
+
+
+def at_rank(scores: DataFrame, rank: int) -> float:
+    """The value at a rank, from 1 on, of the written column `s`: exact, in bounded memory.
+
+    Each round counts the values in equal bins and goes on in the one that holds the rank.
+    """
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        width = (high - low) / _BINS
+        # a width of zero is that of neighbouring numbers
+        place = F.col("s")
+        if width > 0:
+            place = F.least(F.floor((F.col("s") - low) / width), F.lit(_BINS - 1))
+        bins = (
+            scores.filter(F.col("s").between(low, high))
+            .groupBy(place.alias("bin"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
+            .orderBy("bin").collect()
+        )
+        for b in bins:
+            if rank <= b.n:
+                break
+            rank -= b.n
+        low, high = b.low, b.high
+    return low
+
+
+def threshold(joined: DataFrame, weights: list[float]) -> float:
+    """Quantile of the scores of all training rows at the share of label 0 among them."""
+    if not weights:
+        return 0.0
+    scores = written(joined.select("quality", _linear(weights).alias("s")), "rank-scores")
+    return at_rank(scores, label_counts(scores)[0])
 
 
 def _linear(weights: list[float]) -> Column:
@@ -131,7 +174,9 @@ def _linear(weights: list[float]) -> Column:
 def ranked(docs: DataFrame, labels: DataFrame, params: RankParams = RankParams()) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     rows = written(measured(docs), "rank-features")
-    weights, quantile = fit(training_sample(rows, labels, params), params)
+    joined = training_rows(rows, labels)
+    weights = fit(training_sample(joined, params), params)
+    quantile = threshold(joined, weights)
     shift = F.log(F.lit(params.cut / (1 - params.cut)))
     score = 1 / (1 + F.exp(-(_linear(weights) - F.lit(quantile) + shift)))
     # the quantile itself counts as reached, whatever the last digit says

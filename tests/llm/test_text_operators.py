@@ -225,3 +225,36 @@ def test_ranker_without_pairs(spark):
     assert len(rows) == docs.count()
     assert all(r.score == pytest.approx(0.3) for r in rows) and {r.predicted for r in rows} == {1}
     assert quality_ranker.ranked(empty_docs(spark), labels).count() == 0
+
+
+def test_threshold_is_that_of_all_training_rows_also_beyond_the_sample(spark):
+    draw = random.Random(6)
+    docs, labels = [], []
+    for i in range(600):
+        quality = int(i % 4 > 0)
+        # both labels shout, label 0 more often: scores overlap
+        shout = draw.random() * (0.5 if quality else 0.8)
+        words = [w.upper() + "!" if draw.random() < shout else w
+                 for w in draw.choices("some words of a plain text that anyone might read".split(),
+                                       k=draw.randrange(60, 200))]
+        docs.append((i, " ".join(words)))
+        labels.append((i, quality, 0))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    params = quality_ranker.RankParams(sample=20)
+    learnt = [r for r in quality_ranker.ranked(docs, frame, params).collect() if not r.held_out]
+    bad = sum(1 for r in learnt if r.doc_id % 4 == 0)
+    scores = sorted(r.score for r in learnt)
+    assert scores[bad - 1] == pytest.approx(0.3, abs=1e-9)
+    assert abs(sum(1 for r in learnt if not r.predicted) - (bad - 1)) <= 1
+
+
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_value_at_a_rank_is_exact(spark, monkeypatch, bins):
+    monkeypatch.setattr(quality_ranker, "_BINS", bins)
+    draw = random.Random(7)
+    values = [draw.choice([0.0, 5e-324, 1.5, -2.0, 1e9, draw.random(), draw.random() * 1e-9])
+              for _ in range(60)]
+    frame = spark.createDataFrame([(v,) for v in values], "s double")
+    for rank in (1, 7, 30, 31, 59, 60):
+        assert quality_ranker.at_rank(frame, rank) == sorted(values)[rank - 1]
