@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -61,6 +62,44 @@ def test_constants_are_followed_to_sensitive_names():
     assert literals == {"Zx81kQp9vT", "mN45rrTy", "correct horse"}
 
 
+KEY = "Xy9kQ2vLm8Rt"
+
+
+@pytest.mark.parametrize("text", [
+    f'db_password: str = "{KEY}"', f'let token: string = "{KEY}";', f'val apiKey: String = "{KEY}"',
+    f'api_key: Optional[str] = "{KEY}"', f"let secret: &'static str = \"{KEY}\";",
+    f'var password string = "{KEY}"', f'DECLARE @password varchar(50) = "{KEY}"',
+    f'Dim password As String = "{KEY}"', f'char password[] = "{KEY}";', f'secret += "{KEY}"',
+    f"<password>{KEY}</password>", f'<token id="1">\n  {KEY}\n</token>',
+    f'password = (\n    "{KEY}"\n)', f'"client_secret":\n  "{KEY}"', f'password = \\\n  "{KEY}"',
+    f"conf:\n  password: |\n    {KEY}\n  name: bob of the hill", f'password = """{KEY}"""',
+    f"password = ['{KEY}']",
+])
+def test_syntax_of_assignments(text):
+    _, spans = secret_scan.scan(text)
+    assert KEY in {text[a:b] for a, b, kind in spans if kind == "literal"}
+    assert all("bob" not in text[a:b] for a, b, _ in spans)
+
+
+@pytest.mark.parametrize("text", [
+    'password = "Xy9kQ2" +\n    "vLm8Rt"', 'password = "Xy9kQ2"\n    + "vLm8Rt"',
+    'password = ("Xy9kQ2"\n    "vLm8Rt")', 'secret = "Xy9kQ2"\nsecret += "vLm8Rt"',
+])
+def test_literals_over_several_lines(text):
+    _, spans = secret_scan.scan(text)
+    for piece in ("Xy9kQ2", "vLm8Rt"):  # the base pattern may cover the first
+        assert any(piece in text[a:b] for a, b, _ in spans)
+
+
+def test_statements_in_hard_texts_take_linear_time():
+    for text in ("a: b[" * 50_000, "a: b[ a::b[" * 20_000, 'a="\n' * 50_000, "<a>" * 50_000,
+                 "a=(" * 50_000, "a:\n" * 50_000, "a: b " * 50_000, 'p=("a=("' * 30_000,
+                 'a = "x" +\n' * 30_000, "k: |\n  " * 20_000, 'a="""' * 30_000):
+        start = time.monotonic()
+        secret_scan.scan(text)
+        assert time.monotonic() - start < 5, text[:20]
+
+
 def test_secrets_of_odd_documents(spark):
     docs = clashing(odd_docs(spark), "found", "spans", "n_hex").union(
         clashing(spark.createDataFrame([(77, CONFIG, "en", "a", 1)], odd_docs(spark).schema),
