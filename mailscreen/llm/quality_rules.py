@@ -75,7 +75,13 @@ def rules() -> dict[str, Column]:
             F.col("n_unique") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))), 4.0, 2.5
         ),
         "line_copies": _vote(_share("n_dup_lines", "n_lines"), 0.15, 0.30),
-        "line_ends": _vote(_share("n_ended_lines", "n_lines"), 0.80, 0.50),
+        # lines of scripts without a sign for the end of a sentence do not count
+        "line_ends": F.when(
+            2 * F.col("n_open_lines") > F.col("n_lines"), F.lit(ABSTAIN)
+        ).otherwise(_vote(
+            F.col("n_ended_lines") / F.greatest(F.col("n_lines") - F.col("n_open_lines"), F.lit(1)),
+            0.80, 0.50,
+        )),
     }
 
 
@@ -141,7 +147,7 @@ def measured(docs: DataFrame) -> DataFrame:
 _ADDED = {
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ended_lines",
     "n_repeat_words", "n_same_next", "n_upper", "n_plain", "n_unique", "n_exclaim",
-    "counts", "base_failed", "votes", "p_good", "kept",
+    "n_open_lines", "counts", "base_failed", "votes", "p_good", "kept",
 }
 
 

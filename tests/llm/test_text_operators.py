@@ -192,6 +192,33 @@ def test_repeats_with_more_words_than_the_table_holds(monkeypatch):
         assert got[text_stats.COUNTS.index("n_repeat_words")] == counts_by_hand(text)[4]
 
 
+PROSE = {
+    "hi": "नदी के किनारे एक छोटा सा गाँव था, जहाँ लोग सुबह जल्दी उठते थे।",
+    "bn": "নদীর ধারে একটি ছোট গ্রাম ছিল, যেখানে মানুষ খুব ভোরে উঠত।",
+    "ar": "كانت هناك قرية صغيرة على ضفة النهر، وكان الناس يستيقظون مبكرا؟",
+    "zh": "河边有一个小村庄，人们每天很早起床。 他们去田里干活，晚上回家。",
+    "th": "ริมแม่น้ำมีหมู่บ้านเล็กๆ ผู้คนตื่นแต่เช้า แล้วไปทำงานในทุ่งนา",
+}
+
+
+@pytest.mark.parametrize("lang", PROSE)
+def test_rules_of_form_do_not_vote_against_other_scripts(spark, lang):
+    text = "\n".join([PROSE[lang]] * 3)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    votes = dict(zip(quality_rules.RULE_NAMES, quality_rules.measured(docs).first().votes))
+    assert votes["plain_words"] == 1
+    assert votes["line_ends"] == (0 if lang == "th" else 1)
+
+
+def test_plain_words_and_line_ends_of_ascii_stay():
+    plain = ["word", "it's", "well-known,", "end.", "why?"]
+    other = ["a1", "#tag", "wow!", "x_y", "--", "", "a..", "!"]
+    assert all(map(text_stats.is_plain, plain)) and not any(map(text_stats.is_plain, other))
+    assert text_stats.is_plain("cafe\u0301.") and not text_stats.is_plain("\u0964")
+    assert text_stats.line_end(b"Yes. \r") == (True, False)
+    assert text_stats.line_end("Straße".encode()) == (False, False)
+
+
 def test_verdicts_follow_the_labels(spark, sf_dir):
     rows = quality_rules.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
