@@ -67,10 +67,12 @@ FEATURES = (
 )
 
 _HIDDEN = "|".join(HIDDEN_TAGS)
-# Every alternative also ends at the end of the page, so that none is tried and given up
+# A self-closed svg or math holds nothing; other hidden elements cannot close themselves in
+# HTML. Every other alternative also ends at the end of the page, so that none is tried and given up
 # over a long rest. Quotes hold a value only after an equals sign.
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
+    |<(?:svg|math)(?=[\s/>])(?:=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+(?<=/)>
     |<({_HIDDEN})(?=[\s/>])[^>]*+(?:>|\Z).*?(?:</\1\s*>|\Z)
     |<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)
     |<[!?/][^>]*+(?:>|\Z)

@@ -72,6 +72,16 @@ def test_unseen_layouts(tree):
     assert html_extract.main_text(page, tree) == f"Money\n{text}\nShort."
 
 
+def test_self_closed_icons_hide_nothing(tree):
+    for icon in ('<svg class="i"/>', "<math/>", '<SVG a="x>y" />', '<svg><path d="M0"/></svg>',
+                 "<svg>hidden</svg>", '<a href="/"><svg class="i"/></a>'):
+        page = f"<body>{icon}<article><h1>Title</h1><p>One</p></article></body>"
+        assert html_extract.main_text(page, tree) == "Title\nOne", icon
+    assert html_extract.blocks("<script src=x />hidden</script>") == []
+    for page in ("<svg " * 30_000, "<svg>" * 30_000, '<svg a="' * 30_000, "<svg/>" * 30_000):
+        html_extract.described(page)
+
+
 def test_blocks_of_broken_markup():
     page = '<p class="x"">one &amp; two<br>three<p>four <a href=/x>five</a><div title="a>b">six &nbsp; 7'
     assert [t for t, _ in html_extract.blocks(page)] == ["one & two three", "four five", "six 7"]
