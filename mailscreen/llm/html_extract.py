@@ -83,14 +83,17 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 NAME_PART = re.compile(r"[a-z]+")
 
 
-def _named_boiler(tag: str, attributes: str) -> bool:
+def _named_boiler(tag: str, attributes: str) -> int:
+    """2 if names say boilerplate, 1 if only layout names do, 0 if none."""
     if tag in ("html", "body"):
-        return False
-    telling = BOILER_NAMES - LAYOUT_NAMES if tag in MAIN_TAGS else BOILER_NAMES
-    return any(
-        not telling.isdisjoint(NAME_PART.findall("".join(m.groups("")).lower()))
-        for m in NAMES.finditer(attributes)
-    )
+        return 0
+    parts = {
+        x for m in NAMES.finditer(attributes)
+        for x in NAME_PART.findall("".join(m.groups("")).lower())
+    }
+    if not parts.isdisjoint(BOILER_NAMES - LAYOUT_NAMES):
+        return 2
+    return int(tag not in MAIN_TAGS and not parts.isdisjoint(BOILER_NAMES))
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
@@ -110,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 in_links = len(html.unescape("".join(linked)).split())
                 _, main, boiler, named, _, heading, head = stack[-1]
                 density = min(1.0, in_links / words)
-                out.append((text, [words, density, main, boiler, named, heading, head]))
+                out.append((text, [words, density, main, boiler, int(named > 0), heading, head]))
             parts.clear()
             linked.clear()
 
@@ -150,9 +153,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                     if stack[k][0] in BLOCK_TAGS:
                         break
         _, main, boiler, named, link, heading, head = stack[-1]
-        named = int(named or (bool(m[4]) and _named_boiler(tag, m[4])))
+        named = max(named, _named_boiler(tag, m[4]) if m[4] else 0)
         if tag in MAIN_TAGS:
-            main, boiler = 1, 0
+            # layout names of what encloses an article are forgiven
+            main, boiler, named = 1, 0, 2 * (named == 2)
         elif tag in BOILER_TAGS:
             # an article's own header holds its title
             boiler = int(boiler or not (tag == "header" and main))

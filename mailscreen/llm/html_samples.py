@@ -92,6 +92,12 @@ FRAMED = f"""
 <section class="newsletter"><p>{_LONG}</p></section></body>
 """
 
+WRAPPED = f"""
+<body><div class="content has-sidebar"><article><h1>[+]The weir</h1><p>[+]{_LONG}</p>
+<div class="share">{_MIDDLE}</div><p>[+]{_SHORT}</p></article><p>{_MIDDLE}</p></div>
+<div class="comments"><article><p>{_LONG}</p></article></div></body>
+"""
+
 # articles with nothing after them, of few words, or of links
 BARE = [
     f"<article><p>[+]{_LONG}</p><p>[+]{_SHORT}</p></article>",
@@ -102,4 +108,4 @@ BARE = [
     f"<article><p>[+]<a href=/a>{_MIDDLE}</a></p></article>",
 ]
 
-PAGES = [ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR, STACKED, FRAMED, *BARE]
+PAGES = [ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR, STACKED, FRAMED, WRAPPED, *BARE]

@@ -72,6 +72,13 @@ def test_unseen_layouts(tree):
     assert html_extract.main_text(page, tree) == f"Money\n{text}\nShort."
 
 
+def test_layout_names_around_an_article_are_forgiven(tree):
+    page = """<body><div class="page with-header"><div class="content has-sidebar"><article><h1>Title</h1>
+    <p>One</p><div class="share">Two</div></article></div></div>
+    <div class="comments"><article><p>Three</p></article></div></body>"""
+    assert html_extract.main_text(page, tree) == "Title\nOne"
+
+
 def test_self_closed_icons_hide_nothing(tree):
     for icon in ('<svg class="i"/>', "<math/>", '<SVG a="x>y" />', '<svg><path d="M0"/></svg>',
                  "<svg>hidden</svg>", '<a href="/"><svg class="i"/></a>'):
