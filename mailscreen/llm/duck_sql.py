@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from mailscreen.llm import license_scan, license_templates
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANK = r"[^\x20\x09-\x0D]+"
 # maximal runs of digits, a to z and characters beyond ASCII
@@ -117,8 +119,72 @@ copied AS (
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM copied
 """
 
+
+def template_regex(nodes: tuple) -> str:
+    """A template as a regular expression over words that each have a blank behind them."""
+    out = ""
+    for node in nodes:
+        if isinstance(node, license_scan.Word):
+            out += f"{node.word.decode()} "
+        elif isinstance(node, license_scan.Optional):
+            out += f"(?:{template_regex(node.inner)})?"
+        elif isinstance(node, license_scan.OneOf):
+            out += f"(?:{'|'.join(map(template_regex, node.wordings))})"
+        else:
+            out += f"(?:[^ ]+ ){{{node.least},{node.most}}}"
+    return out
+
+
+def _op11() -> str:
+    phrases = " UNION ALL ".join(
+        f"SELECT '{label}' AS label, {p.split()} AS phrase" for label, p in license_templates.PHRASES
+    )
+    trees = [
+        (label, license_scan.parse(t)) for label, ts in license_templates.TEMPLATES for t in ts
+    ]
+    templates = ", ".join(
+        f"('{label}', ' {template_regex(tree)}', {license_scan.mandatory(tree)})"
+        for label, tree in trees
+    )
+    # both sides of a comparison use one spelling, but for phrases
+    spelt = "w"
+    for other, word in license_templates.SPELLINGS.items():
+        spelt = f"list_transform({spelt}, lambda x: CASE x WHEN '{other}' THEN '{word}' ELSE x END)"
+        templates = templates.replace(f" {other} ", f" {word} ")
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         {SPAN_WORDS.format(LOWER.format("coalesce(text, '')"))} AS w
+  FROM documents),
+spelt AS (SELECT r, ' ' || array_to_string({spelt}, ' ') || ' ' AS line FROM docs),
+phrases AS ({phrases}),
+templates AS (SELECT * FROM (VALUES {templates}) AS t(label, pattern, words)),
+places AS (
+  SELECT r, label, len(phrase) AS words, i - 1 AS place
+  FROM docs, phrases, unnest(range(1, len(w) - len(phrase) + 2)) AS t(i)
+  WHERE w[i:i + len(phrase) - 1] = phrase),
+found AS (
+  SELECT r, label, words FROM places UNION ALL
+  SELECT r, label, words FROM spelt, templates WHERE regexp_matches(line, pattern)),
+base AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+every AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         max(words)::DOUBLE AS most FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+       first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(most / (most + 4), 0) AS score
+FROM docs LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+"""
+
+
+OP11 = _op11()
+
 SQL = {
     "op1_line_dedup": OP1,
     "op3_decontaminate": OP3,
     "op9_mix": OP9,
+    "op11_licenses": OP11,
 }

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen.llm import (
-    decontamination, html_extract, line_dedup, mixing, quality_ranker, quality_rules,
-    secret_scan, simhash, token_counts, warc,
+    decontamination, html_extract, license_scan, line_dedup, mixing, quality_ranker,
+    quality_rules, secret_scan, simhash, token_counts, warc,
 )
 
 
@@ -66,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary)
 
 
+def op11_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
@@ -77,4 +81,5 @@ QUERIES = {
     "op8_quality_ranker": op8_quality_ranker,
     "op9_mix": op9_mix,
     "op10_token_counts": op10_token_counts,
+    "op11_licenses": op11_licenses,
 }
