@@ -6,7 +6,6 @@ import glob
 import os
 
 import duckdb
-import pandas as pd
 
 KINDS = {
     "tinyint": "int8", "int": "int32", "bigint": "int64", "double": "double",
@@ -26,10 +25,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _sorted(df: pd.DataFrame) -> list[tuple]:
-    df = df[sorted(df.columns)].astype(object)
-    df = df.where(df.notna(), None)
-    return sorted(df.itertuples(index=False, name=None), key=repr)
+def _sorted(rows: list, names: list[str]) -> list[tuple]:
+    """Rows with their columns by name, in the order of their text; no type is widened."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
 def differences(spark_df, con, sql: str) -> list[str]:
@@ -40,7 +39,8 @@ def differences(spark_df, con, sql: str) -> list[str]:
     right = {n: DUCK_KINDS.get(str(t), str(t)) for n, t in zip(relation.columns, relation.types)}
     if left != right:
         return [f"schema: {set(left.items()) ^ set(right.items())}"]
-    a, b = _sorted(spark_df.toPandas()), _sorted(relation.df())
+    a = _sorted(spark_df.collect(), spark_df.columns)
+    b = _sorted(relation.fetchall(), relation.columns)
     if len(a) != len(b):
         return [f"rows: {len(a)} against {len(b)}"]
     return [f"{x!r:.300} against {y!r:.300}" for x, y in zip(a, b) if repr(x) != repr(y)][:3]
