@@ -182,9 +182,96 @@ FROM docs LEFT JOIN base USING (r) LEFT JOIN every USING (r)
 
 OP11 = _op11()
 
+# CRC-32 of ASCII text, bit by bit
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(
+      list_prepend(xor(c, b), range(8)::BIGINT[]),
+      lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))"""
+
+# The cheapest way to every state, row by row: 0 nothing written, 1 after s, 2 after u, 3 after a.
+OP12 = rf"""
+WITH RECURSIVE
+given AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn,
+         coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT c, conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(i)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, encode(role), sha256(text)) AS pos,
+         left(role, 1) AS initial
+  FROM damaged),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         lag(initial) OVER (PARTITION BY c ORDER BY pos) || initial AS pair
+  FROM placed),
+faulty AS (
+  SELECT *, NOT blank AND again AS duplicate, blank OR again AS must_go,
+         NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM seen),
+inserts AS (SELECT * FROM (VALUES
+  (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3),
+  (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)) AS t(p, n, mid)),
+moves AS (SELECT * FROM (VALUES
+  (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a'),
+  (0, 0, 'd'), (1, 1, 'd'), (2, 2, 'd'), (3, 3, 'd')) AS t(mid, q, goal)),
+ways AS (
+  SELECT c, 0::BIGINT AS pos, 0 AS state, {{'cost': 0, 'audit': ''}} AS best
+  FROM (SELECT DISTINCT c FROM given)
+  UNION ALL
+  SELECT w.c, w.pos + 1, m.q, min({{
+    'cost': w.best.cost + 2 * i.n + CASE WHEN goal = 'd' THEN 3 ELSE cut::INT + CASE WHEN goal = initial THEN 0 ELSE 2 END END,
+    'audit': w.best.audit || repeat('I', i.n) || CASE WHEN goal = 'd' THEN 'D' WHEN goal = initial THEN 'K' ELSE 'R' END}})
+  FROM ways w JOIN faulty r ON r.c = w.c AND r.pos = w.pos + 1
+  JOIN inserts i ON i.p = w.state JOIN moves m ON m.mid = i.mid
+  WHERE goal = 'd' OR (NOT must_go AND (goal = initial OR goal <> 's'))
+  GROUP BY w.c, w.pos + 1, m.q),
+lengths AS (SELECT c, max(pos) AS n FROM faulty GROUP BY c),
+ends AS (
+  SELECT w.c, min({{'cost': best.cost + 2 * e.n, 'audit': best.audit || repeat('I', e.n)}}) AS best
+  FROM ways w LEFT JOIN lengths l ON l.c = w.c
+  JOIN (VALUES (0, 0), (1, 2), (2, 1), (3, 0)) AS e(state, n) ON e.state = w.state
+  WHERE w.pos = coalesce(l.n, 0) GROUP BY w.c),
+edits AS (
+  SELECT c, k, best.audit[k] AS edit FROM ends, unnest(range(1, length(best.audit) + 1)) AS t(k)),
+aligned AS (
+  SELECT c, k, edit,
+         sum((edit <> 'I')::INT) OVER (PARTITION BY c ORDER BY k) AS pos,
+         sum((edit <> 'D')::INT) OVER (PARTITION BY c ORDER BY k) AS line
+  FROM edits),
+lines AS (
+  SELECT a.c, a.k, edit, line, initial, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text
+  FROM aligned a LEFT JOIN faulty f ON f.c = a.c AND f.pos = a.pos WHERE edit <> 'D'),
+opened AS (
+  SELECT c, max((line = 1 AND edit = 'K' AND initial = 's')::INT) AS shift FROM lines GROUP BY c),
+repaired AS (
+  SELECT c, sha256(string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN (line - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || text, chr(10) ORDER BY k)) AS digest
+  FROM lines JOIN opened USING (c) GROUP BY c),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+       coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM given) LEFT JOIN ends USING (c)
+LEFT JOIN counts USING (c) LEFT JOIN repaired USING (c)
+"""
+
 SQL = {
     "op1_line_dedup": OP1,
     "op3_decontaminate": OP3,
     "op9_mix": OP9,
     "op11_licenses": OP11,
+    "op12_turn_repair": OP12,
 }

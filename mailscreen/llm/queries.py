@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mailscreen.llm import (
     decontamination, html_extract, license_scan, line_dedup, mixing, quality_ranker,
-    quality_rules, secret_scan, simhash, token_counts, warc,
+    quality_rules, secret_scan, simhash, token_counts, turn_repair, warc,
 )
 
 
@@ -70,6 +70,10 @@ def op11_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return turn_repair.repaired(table(spark, sf, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
@@ -82,4 +86,5 @@ QUERIES = {
     "op9_mix": op9_mix,
     "op10_token_counts": op10_token_counts,
     "op11_licenses": op11_licenses,
+    "op12_turn_repair": op12_turn_repair,
 }
