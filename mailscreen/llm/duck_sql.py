@@ -268,10 +268,48 @@ FROM (SELECT DISTINCT c, conv_id FROM given) LEFT JOIN ends USING (c)
 LEFT JOIN counts USING (c) LEFT JOIN repaired USING (c)
 """
 
+# nodes are prefixes of the rebuilt lists; a subtree is every prefix that goes on from its top
+OP13 = rf"""
+WITH lists AS (
+  SELECT conv_id,
+         list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+              ORDER BY turn NULLS FIRST, encode(coalesce(role, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+lengths AS (
+  SELECT *, ({CRC32.format("conv_id::VARCHAR")} % 6)::BIGINT AS h FROM lists),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+  FROM lengths a LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 100),
+members AS (
+  SELECT conv_id, len(turns) AS n, d, sha256(turns[1:d]::VARCHAR) AS node,
+         CASE WHEN d > 0 THEN sha256(turns[1:d - 1]::VARCHAR) END AS above,
+         CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS size,
+         list_transform(range(d + 1), lambda k: sha256(turns[1:k]::VARCHAR)) AS tops
+  FROM rebuilt, unnest(range(len(turns) + 1)) AS t(d)),
+nodes AS (
+  SELECT node, d, any_value(above) AS above, any_value(size) AS size, any_value(tops) AS tops,
+         min(conv_id) AS first, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+  FROM members GROUP BY node, d),
+families AS (
+  SELECT above AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+sized AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN families USING (node, d)),
+sums AS (
+  SELECT top AS node, k AS d, count(*) FILTER (n_children = 0) AS n_leaves,
+         sum((n_convs - 1) * size) AS saved
+  FROM (SELECT n_children, n_convs, size, unnest(tops) AS top, unnest(range(len(tops))) AS k FROM sized)
+  GROUP BY top, k)
+SELECT s.first AS conv_id, s.d AS depth, p.first AS parent_conv_id, s.n_convs,
+       s.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(s.ends) AS ends_sha256
+FROM sized s JOIN sums USING (node, d) LEFT JOIN nodes p ON p.node = s.above AND p.d = s.d - 1
+"""
+
 SQL = {
     "op1_line_dedup": OP1,
     "op3_decontaminate": OP3,
     "op9_mix": OP9,
     "op11_licenses": OP11,
     "op12_turn_repair": OP12,
+    "op13_prefix_trie": OP13,
 }

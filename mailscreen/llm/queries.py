@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen.llm import (
-    decontamination, html_extract, license_scan, line_dedup, mixing, quality_ranker,
-    quality_rules, secret_scan, simhash, token_counts, turn_repair, warc,
+    decontamination, html_extract, license_scan, line_dedup, mixing, prefix_trie,
+    quality_ranker, quality_rules, secret_scan, simhash, token_counts, turn_repair, warc,
 )
 
 
@@ -74,6 +74,10 @@ def op12_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
     return turn_repair.repaired(table(spark, sf, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
@@ -87,4 +91,5 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_licenses": op11_licenses,
     "op12_turn_repair": op12_turn_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
