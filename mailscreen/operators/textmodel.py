@@ -127,16 +127,17 @@ def train_text(
 ) -> TextModel:
     """Fit TF-IDF and a class-balanced logistic regression on ``prepared_text``/``label``.
 
-    The weighted sparse rows are written to the work folder first. The optimiser reads
-    them once per iteration, and after a lost executor they are read again instead of
+    Mails are cleaned once: their words are written to the work folder, then the weighted
+    sparse rows. The optimiser reads those once per iteration, and after a lost executor they are read again instead of
     cleaning and weighting the mails anew.
     """
     spark = corpus.sparkSession
+    corpus = tfidf.tokenized(corpus, ["label"])
     model = tfidf.fit(corpus, params)
     if not model.terms:
         raise RuntimeError("no term occurs in enough mails to form a vocabulary")
     path = work_folder(spark, "text-vectors")
-    weighted = corpora.with_class_weight(corpus.select("prepared_text", "label"))
+    weighted = corpora.with_class_weight(corpus)
     model.weigh(weighted).select(
         F.col("label").cast("double").alias("label"), "weight",
         sparse_parts(len(model.terms)).alias("features"),

@@ -68,8 +68,7 @@ def run_text(
             return models.load_text(spark, path)
     except FileNotFoundError:
         pass
-    # fitting the vocabulary and weighting the mails both read the prepared texts
-    corpus = _written(features.text_corpus(train, options, keep=["label"]), "prepared-texts")
+    corpus = features.text_corpus(train, options, keep=["label"])
     model = textmodel.train_text(corpus, params, options)
     measured = _evaluate(
         model.score(features.text_corpus(val, options, keep=["label"])), "score_text"
