@@ -115,8 +115,8 @@ def held_out_mails_are_evaluated_once(spark: SparkSession, sf: str) -> DataFrame
 
 
 def folds_cover_all_mails(spark: SparkSession, sf: str) -> DataFrame:
-    return q.oob_score(spark, sf).select(
-        "n_rows", F.col("oob_score").between(0.0, 1.0).alias("valid")
+    return q.fold_score(spark, sf).select(
+        "n_rows", F.col("fold_score").between(0.0, 1.0).alias("valid")
     )
 
 

@@ -601,6 +601,10 @@ def oob_score(spark, sf):
     return forest.oob_score(feature_table(spark, sf))
 
 
+def fold_score(spark, sf):
+    return forest.fold_score(feature_table(spark, sf))
+
+
 # ---------------------------------------------------------------- TF-IDF and models
 
 
@@ -629,8 +633,8 @@ def vocabulary(spark, sf):
 
 
 def tfidf_weights(spark, sf):
-    frame = prepared(spark, sf)
-    return rounded(tfidf.fit(frame).long(frame), "weight")
+    mails_in_words = tfidf.tokenized(prepared(spark, sf), ["msg_id"])
+    return rounded(tfidf.fit(mails_in_words).long(mails_in_words), "weight")
 
 
 def split_mails(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -811,6 +815,7 @@ QUERIES = {
     "recall_gate": recall_gate,
     "smoke_scores": smoke_scores,
     "oob_score": oob_score,
+    "fold_score": fold_score,
     "tokens": tokens,
     "ngrams": ngrams,
     "term_freq": term_freq,

@@ -82,6 +82,9 @@ class ForestParams:
     max_bins: int = 256
     seed: int = 42
     oob_folds: int = 3
+    # out-of-bag estimate: trees grown on one bag, and forests of bags fitted side by side
+    trees_per_bag: int = 4
+    fits_at_once: int = 4
 
     def __post_init__(self) -> None:
         _at_least("num_trees", self.num_trees, 1)
@@ -93,6 +96,8 @@ class ForestParams:
         _at_least("min_leaf", self.min_leaf, 1)
         _at_least("max_bins", self.max_bins, 2)
         _at_least("oob_folds", self.oob_folds, 2)
+        _at_least("trees_per_bag", self.trees_per_bag, 1)
+        _at_least("fits_at_once", self.fits_at_once, 1)
 
 
 @dataclass(frozen=True)

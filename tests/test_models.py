@@ -185,8 +185,33 @@ def test_forest(spark, meta):
     ranked = [r.importance for r in model.feature_importance(spark).collect()]
     assert len(ranked) == 32 and ranked == sorted(ranked, reverse=True)
     assert sum(ranked) == pytest.approx(1.0)
-    oob = forest.oob_score(table, ForestParams(num_trees=6, max_depth=4)).first()
-    assert oob.n_rows == 240 and 0.5 < oob.oob_score <= 1.0
+    folds = forest.fold_score(table, ForestParams(num_trees=6, max_depth=4)).first()
+    assert folds.n_rows == 240 and 0.5 < folds.fold_score <= 1.0
+
+
+def test_out_of_bag_score_by_hand(spark, meta):
+    table = meta[1]
+    params = ForestParams(num_trees=11, max_depth=4, trees_per_bag=2)
+    forests = forest.bagged_forests(table, params)
+    assert [f.getNumTrees for _, f in forests] == [2, 2, 2, 2, 2, 1]
+    drawn = [forest.bag_count(bag, params.seed).alias(f"n{bag}") for bag, _ in forests]
+    rows = features.feature_vector(table).select("label", "features", *drawn).collect()
+    right = voted = 0
+    for row in rows:
+        votes = [0.0, 0.0]
+        for bag, fitted in forests:
+            if row[f"n{bag}"] == 0:
+                raw = fitted.predictRaw(row.features)
+                votes = [votes[0] + raw[0], votes[1] + raw[1]]
+        voted += sum(votes) > 0
+        right += sum(votes) > 0 and row.label == (votes[1] > votes[0])
+    got = forest.oob_score(table, params).first()
+    assert (got.n_rows, got.n_voted) == (240, voted)
+    assert got.oob_score == pytest.approx(right / voted) and right / voted > 0.7
+    # counts are Poisson with mean 1, and equal rows are drawn alike
+    counts = [row[f"n{bag}"] for row in rows for bag, _ in forests]
+    assert 0.7 < sum(counts) / len(counts) < 1.3 and 0.25 < counts.count(0) / len(counts) < 0.5
+    assert len({(r.label, r.features, r.n0) for r in rows}) == len({(r.label, r.features) for r in rows})
 
 
 def test_shap_adds_up_to_the_prediction(spark, meta):
