@@ -627,7 +627,13 @@ SQL = {
         SELECT msg_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 6) AS weight
         FROM w""",
     "stream_classify": over_stages(FLAT, STREAM_MAILS),
-    "stream_dedup": f"WITH {STREAM_MAILS} SELECT DISTINCT {HASH} AS content_hash FROM mails",
+    "stream_dedup": f"""WITH {STREAM_MAILS}, hashed AS (
+          SELECT {HASH} AS content_hash, msg_id, ts FROM mails),
+        followed AS (
+          SELECT *, lag(ts) OVER (PARTITION BY content_hash ORDER BY ts, msg_id) AS before
+          FROM hashed)
+        SELECT content_hash, msg_id, ts::BIGINT AS event_ts FROM followed
+        WHERE before IS NULL OR before + 2 * 86400 < ts""",
     "stream_label_counts": f"""WITH {STREAM_MAILS}, {CLEAN}, {FEATURES}, {STAGES},
         t AS (SELECT s.*, m.ts - m.ts % 3600 AS window_start FROM stages s JOIN mails m USING (msg_id))
         SELECT CAST(window_start AS BIGINT) AS window_start, {LABEL} AS label, gated,

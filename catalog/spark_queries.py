@@ -17,7 +17,7 @@ from mailscreen.params import ScreenParams, SplitParams
 from mailscreen.plans import screen
 from mailscreen.session import work_folder
 from mailscreen.sources import csv_corpora, models, requests, tables
-from mailscreen.streaming import jobs
+from mailscreen.streaming import jobs, merged
 
 SWEEP_GRID = tuple(
     ScreenParams(gate_threshold=g, alpha=a, decision_threshold=d)
@@ -689,34 +689,34 @@ def shap_meta(spark, sf):
 # ---------------------------------------------------------------- streaming
 
 
-def _mail_stream(spark, sf):
-    def stream(name):
-        schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-        # a pattern stands for one file as well as for a folder of part files
-        return jobs.read_mails(spark, f"{sf}/{name}.parque[t]", schema)
-
-    return mail_tables.stream_mails(stream("documents"), stream("pages"))
+def _arriving(spark, sf, files, at_once=1):
+    """Mails in several files with event times in no order, so many files to a batch."""
+    folder = work_folder(spark, "stream-mails")
+    rows = mail_tables.with_event_time(mails(spark, sf))
+    rows.repartition(files, "msg_id").write.parquet(folder)
+    return jobs.read_mails(spark, folder, rows.schema, max_files=at_once)
 
 
 def stream_classify(spark, sf):
-    predictions = jobs.stream_classify(_mail_stream(spark, sf), keep=["msg_id"])
+    # part files, as a mail gateway drops them; all of them in one batch
+    predictions = jobs.stream_classify(_arriving(spark, sf, 16, at_once=16), keep=["msg_id"])
     return flat(jobs.drain(predictions, "stream-classify"))
 
 
 def stream_dedup(spark, sf):
-    unique_mails = jobs.stream_dedup(_mail_stream(spark, sf))
-    return jobs.drain(unique_mails.select("content_hash"), "stream-dedup")
+    # event times spread over 30 days in every file
+    slots = jobs.stream_dedup(_arriving(spark, sf, 4), delay="30 days")
+    _, rows = merged.drain_merged(slots, jobs.FIRST, jobs.first_values(), "stream-dedup", "update")
+    return jobs.first_mails(rows).select(
+        "content_hash", "msg_id", F.unix_timestamp("event_ts").alias("event_ts")
+    )
 
 
 def stream_label_counts(spark, sf):
-    # several files with event times in no order, one to a batch
-    folder = work_folder(spark, "stream-mails")
-    arriving = mail_tables.with_event_time(mails(spark, sf))
-    arriving.repartition(4, "msg_id").write.parquet(folder)
-    stream = jobs.read_mails(spark, folder, arriving.schema, max_files=1)
-    predictions = jobs.stream_classify(stream, keep=["msg_id", "event_ts"])
+    predictions = jobs.stream_classify(_arriving(spark, sf, 4), keep=["msg_id", "event_ts"])
     keys = ["window_start", "window_end", "label", "gated"]
-    counts = jobs.drain_updates(jobs.stream_label_counts(predictions), keys, "stream-counts")
+    total = [F.sum("n").alias("n")]
+    _, counts = merged.drain_merged(jobs.label_events(predictions), keys, total, "stream-counts")
     return counts.select(
         F.unix_timestamp("window_start").alias("window_start"), "label", "gated", "n"
     )

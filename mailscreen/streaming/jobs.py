@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from mailscreen.operators.corpus import content_hash
@@ -40,43 +39,92 @@ def stream_classify(
     return screen.classify(mails, params, meta_scorer, text_scorer, options, keep)
 
 
+FIRST = ["content_hash", "slot"]
+
+
+def first_values() -> list[Column]:
+    """What is kept of a hash in a slot; values of several batches merge."""
+    return [F.min("first").alias("first"), F.max("last_ts").alias("last_ts")]
+
+
 def stream_dedup(
     mails: DataFrame,
     event_time: str = "event_ts",
     horizon: str = "2 days",
-    salts: int = 16,
-    spread_by: str = "msg_id",
+    delay: str | None = "2 days",
+    key: str = "msg_id",
 ) -> DataFrame:
-    """First mail of every content hash within the horizon.
+    """First mail and last time of every content hash, per slot as long as the horizon.
 
-    Deduplication routes all copies of a mail to one task. A mail sent en masse would
-    swamp it, so copies are first thinned out under a salted key: at most ``salts`` of
-    them per horizon reach the final step.
+    ``first_mails`` tells from these rows which mails are no copies, whatever batches they
+    came in. Keyed state holds one narrow row per hash and slot, no bodies; copies combine
+    before the shuffle. Slots that ended more than ``delay`` before the newest mail leave
+    the state, and mails that arrive later still are ignored; without a delay none are.
     """
-    hashed = mails.withColumn("content_hash", content_hash(F.col("subject"), F.col("body")))
-    salted = hashed.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    thinned = salted.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(
-        ["content_hash", "_salt"]
+    hashed = mails.select(
+        event_time, F.col(key), content_hash(F.col("subject"), F.col("body")).alias("content_hash")
+    )
+    if delay is not None:
+        hashed = hashed.withWatermark(event_time, delay)
+    return (
+        hashed.groupBy("content_hash", F.window(event_time, horizon).alias("w"))
+        .agg(
+            F.min(F.struct(F.col(event_time).alias("ts"), F.col(key).alias("id"))).alias("first"),
+            F.max(event_time).alias("last_ts"),
+        )
+        .select("content_hash", F.col("w.start").alias("slot"), "first", "last_ts")
+    )
+
+
+def first_mails(slots: DataFrame, horizon: str = "2 days", key: str = "msg_id") -> DataFrame:
+    """content_hash, event_ts and key of every mail that is no copy.
+
+    A mail is a copy if one with its hash came before it (by time, then key) within the
+    horizon. Such a mail stands in the same slot or at the end of the slot before, so
+    first mail and last time of each slot decide.
+    """
+    before = slots.select(
+        F.col("content_hash").alias("h"), (F.col("slot") + F.expr(f"INTERVAL {horizon}")).alias("s"),
+        F.col("last_ts").alias("before_ts"),
+    )
+    same = (slots["content_hash"] == before["h"]) & (slots["slot"] == before["s"])
+    near = F.col("before_ts") + F.expr(f"INTERVAL {horizon}") >= F.col("first.ts")
+    return (
+        slots.join(before, same, "left").filter(~F.coalesce(near, F.lit(False)))
+        .select("content_hash", F.col("first.ts").alias("event_ts"), F.col("first.id").alias(key))
+    )
+
+
+def label_events(
+    predictions: DataFrame, event_time: str = "event_ts", window: str = "1 hour"
+) -> DataFrame:
+    """One row per prediction with what it is counted under; stateless.
+
+    Merged by sum (see ``merged``), every mail counts once, however late, and the stream
+    keeps no state.
+    """
+    return predictions.select(
+        F.window(event_time, window).alias("w"), F.col("label_predicted").alias("label"),
+        F.col("gating.activated").alias("gated"),
+    ).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+        "label", "gated", F.lit(1).cast("long").alias("n"),
     )
-    return thinned.dropDuplicatesWithinWatermark(["content_hash"]).drop("_salt")
 
 
 def stream_label_counts(
     predictions: DataFrame,
     event_time: str = "event_ts",
     window: str = "1 hour",
-    delay: str | None = None,
+    delay: str = "1 day",
 ) -> DataFrame:
-    """Predicted labels and gate decisions per tumbling window.
+    """Predicted labels and gate decisions per tumbling window, as a stateful aggregate.
 
-    Without a delay every mail is counted, however late; the state is one row per window
-    and label. With one, windows older than the watermark leave the state and mails that
-    arrive later still are dropped.
+    Windows older than the delay leave the state, and mails that arrive later still are
+    dropped. To count those too, merge ``label_events``.
     """
-    if delay is not None:
-        predictions = predictions.withWatermark(event_time, delay)
     return (
-        predictions.groupBy(
+        predictions.withWatermark(event_time, delay).groupBy(
             F.window(event_time, window).alias("w"),
             F.col("label_predicted").alias("label"),
             F.col("gating.activated").alias("gated"),
@@ -89,30 +137,6 @@ def stream_label_counts(
     )
 
 
-def drain_updates(stream: DataFrame, keys: list[str], purpose: str = "stream") -> DataFrame:
-    """Process everything available from an aggregate and return its latest rows.
-
-    Each batch appends the rows that it changed under its number, so a repeated batch
-    writes over its own folder; the row of the last batch holds for a key.
-    """
-    spark = stream.sparkSession
-    path = work_folder(spark, purpose)
-
-    def put(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(put)
-        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(schema).parquet(path)
-    values = F.struct(*[c for c in stream.columns if c not in keys])
-    latest = rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("latest"))
-    return latest.select(*keys, "latest.*")
-
-
 def drain(stream: DataFrame, purpose: str = "stream") -> DataFrame:
     """Process everything available into a Parquet sink and read it back.
 
