@@ -4,15 +4,20 @@ Texts are lexed into statements, over line ends: a name (bare or quoted, dotted
 perhaps a type, a sign, and terms joined by `+` or standing side by side in brackets that
 are string literals, bare words or names. Indented blocks of YAML and the text of XML
 elements are terms too; `+=` joins its terms to what the name was bound to.
-Every statement binds its name to the text of its literals, and a term that is a bound
-name stands for what it was bound to, so a constant is followed to the name that uses it.
+Every statement binds its name to its literals, and a term that is a bound name stands for
+what it was bound to, so a constant is followed to the name that uses it, through any number
+of steps. An authorization scheme (`Bearer`) opens a value and is not part of it.
 Literals are then scored: how sensitive the target name is, by its parts, plus how much
 the literal looks like key material. Literals of statements that score enough are added
 as kind `literal`, at the place where the literal stands, unless a base span covers it.
 
 Base spans come from three fixed patterns and always stay. Positions are code points, end
-exclusive. Null and empty texts have no spans; rows are judged each by itself, so ids may
-be null or repeat.
+exclusive.
+
+Defined results: null and empty texts have no spans; very long texts are read whole, in
+time linear in their length; rows are judged each by itself, so ids may be null or repeat
+and repeated rows come back as often as they occur; an empty table gives no rows; further
+columns of the input, however named, are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +68,8 @@ PLUS = re.compile(r"[ \t]*+(?:\\?\r?\n\s*+)?\+(?!=)[ \t]*+(?:\\?\r?\n\s*+)?")
 OPENING = re.compile(r"[(\[][(\[\s]*+")
 BLANK = re.compile(r"[ \t]*+\\?\r?\n\s*+")
 BETWEEN = re.compile(r"\s*+(?:,\s*+)?")
+# an authorization scheme opens a value and is none
+SCHEME = re.compile(r"(?:bearer|basic|negotiate|digest)[ \t]++(?=[\w+/.~-])", re.IGNORECASE)
 BLOCK = re.compile(r"[|>][-+0-9]*+[ \t]*+\r?\n")
 ELEMENT = re.compile(
     r"<([A-Za-z_][\w:.-]*+)(?:\s[^<>]*+)?>(?:\s*+<!\[CDATA\[([^<>]*+)>\s*+|([^<>]*+))</\1\s*+>"
@@ -96,20 +103,65 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in parts))
 
 
-def value_score(value: str, params: ScanParams) -> float:
+class Value:
+    """What a name is bound to: a literal, or the values it joins.
+
+    Values share their parts, so a constant built in many steps costs one step each. Of the
+    text only what is scored is kept: its length, its beginning and how often each
+    character occurs; both follow from the parts.
+    """
+
+    __slots__ = ("parts", "place", "length", "head", "counts", "reported", "n_names")
+
+    def __init__(self, parts=(), text: str = "", place: tuple[int, int] | None = None, old=None):
+        """`old` is the value that this one takes the place of, if it is known as nothing else."""
+        self.parts, self.place, self.reported, self.n_names = parts, place, False, 0
+        self.length = len(text) + sum(p.length for p in parts)
+        self.head = text[:_HEAD]
+        if old is not None and parts[0] is old and parts.count(old) == 1:
+            # nobody asks the old value again, so its counts go on in this one
+            self.counts, old.counts = old.counts, None
+            counted = parts[1:]
+        else:
+            self.counts, counted = Counter(text), parts
+        for p in counted:
+            self.counts.update(p.counts)
+        for p in parts:
+            if len(self.head) >= _HEAD:
+                break
+            self.head += p.head[: _HEAD - len(self.head)]
+
+    def places(self):
+        """Places of the literals that were not reported before."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if not value.reported:
+                value.reported = True
+                todo += value.parts
+                if value.place:
+                    yield value.place
+
+
+# longer than any value that stands for a secret
+_HEAD = 24
+
+
+def value_score(value: Value, params: ScanParams) -> float:
     """0 for what cannot be a secret, up to 1 for long mixed random text."""
-    if len(value) < params.least_length or value.lower() in STAND_INS:
+    n, counts = value.length, value.counts
+    if n < params.least_length or (n < _HEAD and value.head.lower() in STAND_INS):
         return 0.0
-    if value.startswith(("${", "{{", "<", "%(", "$")) or len(set(value)) < 4:
+    if value.head.startswith(("${", "{{", "<", "%(", "$")) or len(counts) < 4:
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     classes = sum(
-        any(f(c) for c in value)
+        any(f(c) for c in counts)
         for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())
     )
-    blanks = sum(c.isspace() for c in value)
-    return max(0.0, min(1.0, entropy / 5 + 0.15 * (classes - 1) - 0.2 * blanks))
+    blanks = sum(c for x, c in counts.items() if x.isspace())
+    # far more blanks than any secret has; a float need not hold the number
+    return max(0.0, min(1.0, entropy / 5 + 0.15 * (classes - 1) - 0.2 * min(blanks, 100)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -149,9 +201,14 @@ def _terms(text: str, at: int):
         if not t or t.lastindex == _BARE:
             return
         at = blank.end()
+    if scheme := SCHEME.match(text, at):
+        at = scheme.end()
     while t := TERM.match(text, at):
         group = t.lastindex
-        yield t[group], t.start(group), t.end(group), group < _BARE
+        start = t.start(group)
+        if scheme := SCHEME.match(t[group]):
+            start += scheme.end()
+        yield text[start : t.end(group)], start, t.end(group), group < _BARE
         if plus := PLUS.match(text, t.end()):
             at = plus.end()
         elif inside and group < _BARE:
@@ -187,36 +244,28 @@ def statements(text: str):
 def literal_spans(text: str, params: ScanParams) -> list[tuple[int, int, str]]:
     if not (":" in text or "=" in text or "</" in text):
         return []
-    bound: dict[str, tuple[str, list]] = {}
+    bound: dict[str, Value] = {}
     found = set()
     for name, joins, terms in statements(text):
-        value, places = [], []
-        if joins and name in bound:
-            known, where = bound[name]
-            value.append(known)
-            places += where
+        parts = [bound[name]] if joins and name in bound else []
         for term, a, b, quoted in terms:
             if not quoted and NAME.fullmatch(term) and term in bound:
-                known, where = bound[term]
-                value.append(known)
-                places += where
+                parts.append(bound[term])
             else:
-                value.append(term)
-                places.append((a, b))
-        whole = "".join(value)
-        # what a name is bound to is its literals once each, not their history
-        if len(whole) <= _LONGEST and len(places) <= _PLACES:
-            bound[name] = (whole, places)
+                parts.append(Value(text=term, place=(a, b)))
+        old = bound.get(name)
+        if old is not None:
+            old.n_names -= 1
+            if old.n_names:
+                old = None
+        value = bound[name] = parts[0] if len(parts) == 1 else Value(parts, old=old)
+        value.n_names += 1
         sensitive = name_score(name)
-        if sensitive and sensitive + value_score(whole, params) >= params.least_score:
-            found.update(places)
+        if sensitive and sensitive + value_score(value, params) >= params.least_score:
+            found.update(value.places())
     return [(a, b, "literal") for a, b in found if b > a]
 
 
-# a bound value longer than any secret is not followed further; it is still scored itself
-_LONGEST, _PLACES = 1 << 16, 64
-
-
 def scan(text: str, params: ScanParams = ScanParams()) -> tuple[list, list]:
     """(base spans, all spans), each a list of (start, end, kind) in order."""
     def order(s: tuple[int, int, str]) -> tuple[int, int, int]:

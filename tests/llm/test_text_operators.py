@@ -56,6 +56,73 @@ def test_base_spans_in_random_texts():
         assert set(base) <= set(every)
 
 
+def literals_by_hand(statements):
+    """Literals of sensitive names, with every value written out in full."""
+    text, bound, found = "", {}, set()
+    for name, sign, terms in statements:
+        text += f"{name} {sign} "
+        value, places = bound.get(name, ("", [])) if sign == "+=" else ("", [])
+        places = list(places)
+        for i, term in enumerate(terms):
+            text += " + " if i else ""
+            if term.startswith('"'):
+                value += term[1:-1]
+                places.append((len(text) + 1, len(text) + len(term) - 1))
+            elif term in bound:
+                value += bound[term][0]
+                places += bound[term][1]
+            else:
+                value += term
+                places.append((len(text), len(text) + len(term)))
+            text += term
+        text += "\n"
+        bound[name] = (value, places)
+        params = secret_scan.ScanParams()
+        score = secret_scan.name_score(name)
+        if score and score + secret_scan.value_score(secret_scan.Value(text=value), params) >= params.least_score:
+            found |= set(places)
+    return text, sorted((a, b, "literal") for a, b in found if b > a)
+
+
+def test_literals_of_random_statements():
+    draw = random.Random(11)
+    names = ["part", "k", "my_key", "signing_key", "auth", "title", "pwd", "salt"]
+    for _ in range(2000):
+        statements = []
+        for _ in range(draw.randrange(1, 12)):
+            terms = [
+                draw.choice(names) if draw.random() < 0.5
+                else '"' + "".join(draw.choice("abXYZ019/ ") for _ in range(draw.randrange(0, 12))) + '"'
+                for _ in range(draw.randrange(1, 4))
+            ]
+            statements.append((draw.choice(names), draw.choice(["=", "=", "+="]), terms))
+        text, want = literals_by_hand(statements)
+        assert sorted(secret_scan.literal_spans(text, secret_scan.ScanParams())) == want, text
+
+
+def test_constants_of_many_steps_are_followed():
+    def built(n, name):
+        steps = "".join(f'{name} += "Zq{i:04d}x"\n' for i in range(n))
+        return f'{name} = "Start9"\n{steps}password = {name}\n'
+
+    for n in (80, 5000):
+        _, spans = secret_scan.scan(built(n, "part"))
+        assert sum(kind == "literal" for _, _, kind in spans) == n + 1
+    start = time.perf_counter()
+    secret_scan.scan(built(20_000, "secret_part"))
+    assert time.perf_counter() - start < 20
+    # a value that doubles is shared, not written out
+    doubled = 'k = "Ab3dEf9h"\n' + "k = k + k\n" * 300 + "password = k\n"
+    assert [s for s in secret_scan.scan(doubled)[1] if s[2] == "literal"] == [(5, 13, "literal")]
+
+
+def test_authorization_schemes_are_no_values():
+    for text in ["Authorization: Bearer abcDEF123456ghi", "authorization = 'Basic abcDEF123456ghi'",
+                 '{"Authorization": "bearer  abcDEF123456ghi"}']:
+        at = text.index("abcDEF")
+        assert secret_scan.scan(text)[1] == [(at, at + 15, "literal")]
+
+
 def test_constants_are_followed_to_sensitive_names():
     _, spans = secret_scan.scan(CONFIG)
     literals = {CONFIG[a:b] for a, b, kind in spans if kind == "literal"}
