@@ -513,6 +513,9 @@ SQL = {
         rf"regexp_matches(concat({mt.REPLY_PREFIX}, subject_clean), '(?i)^\s*(re|fw|fwd)\s*:')"),
     "text_token_pattern": over_clean(
         "array_to_string(regexp_extract_all(lower(body_clean), '[a-z0-9_]{2,}'), ' ')"),
+    "text_tokens_accented": f"""WITH {DOCS} SELECT msg_id, array_to_string(
+        regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '[\\p{{L}}\\p{{N}}_]{{2,}}'), ' ')
+        AS result FROM mails""",
     "extract_urls": over_clean("array_to_string(urls, ' ')"),
     "clean_url": f"""WITH {MAILS}, found AS (
         SELECT msg_id, regexp_extract_all(body, {URL}) AS l FROM mails),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog import mail_tables
 from mailscreen import lexicons as lx
-from mailscreen.functions import entropy, text, urls
+from mailscreen.functions import accents, entropy, text, urls
 from mailscreen.operators import (
     corpus, features, forest, heuristics, metrics, scoring, shap, textmodel, tfidf,
 )
@@ -620,6 +620,12 @@ def ngrams(spark, sf):
     )
 
 
+def text_tokens_accented(spark, sf):
+    """Tokens of mail texts as they came, without folding."""
+    texts = doc_mails(spark, sf).select("msg_id", F.col("body").alias("result"))
+    return texts.select("msg_id", F.array_join(accents.accented_tokens(F.col("result")), " ").alias("result"))
+
+
 def term_freq(spark, sf):
     return tfidf.term_freq(prepared(spark, sf))
 
@@ -777,6 +783,7 @@ QUERIES = {
     "has_iframe": over_mails(text.has_iframe),
     "is_reply_forward": is_reply_forward,
     "text_token_pattern": over_clean(lambda: F.array_join(text.tokens(F.col(body)), " ")),
+    "text_tokens_accented": text_tokens_accented,
     "extract_urls": extract_urls,
     "clean_url": clean_url,
     "nested_urls": nested_urls,

@@ -3,9 +3,10 @@
 Every root-to-leaf path is an additive little game: the leaf value is reached if all
 features on the path fall into their intervals. The Shapley values of such a game have
 a closed form (a polynomial in the share of training weight that follows each interval),
-so a mail's values are a sum over paths. The path table depends on the model alone, at
-most num_trees * 2^max_depth rows, and is broadcast; mails are processed batch-wise in
-a narrow Arrow stage.
+so a mail's values are a sum over paths. What a path adds depends on a mail only by which intervals it
+falls into, so a table by pattern of intervals is worked out once, and mails look their
+values up. Both tables depend on the model alone, are bounded, and are broadcast; mails are
+processed batch-wise in a narrow Arrow stage.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import logging
 import math
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ log = logging.getLogger(__name__)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CELLS = 200_000  # rows x paths handled at once
+# numbers in the pattern tables, 64 MB broadcast; paths beyond are worked out per mail
+MOST_PATTERNS = 8_000_000
 
 
 # Paths with the same number of distinct features, as plain arrays so that they can be
@@ -91,17 +94,66 @@ def path_groups(nodes: DataFrame, n_trees: int) -> tuple[list[PathGroup], float]
     return groups, expected
 
 
-def shap_values(x: np.ndarray, groups: list[PathGroup]) -> np.ndarray:
+def _factors(hit: list[np.ndarray], share: np.ndarray) -> Iterator[np.ndarray]:
+    """The Shapley value of each of a path's features over its leaf value.
+
+    ``hit[i]`` says where the interval of feature i holds, in any shape that ends in the
+    paths; ``share`` is paths x depth.
+    """
+    depth = len(hit)
+    weights = [
+        math.factorial(k) * math.factorial(depth - 1 - k) / math.factorial(depth)
+        for k in range(depth)
+    ]
+    # coefficients, by number of features taken from the mail itself
+    poly = np.zeros((depth + 1, *hit[0].shape))
+    poly[0] = 1.0
+    for i in range(depth):
+        taken = np.where(hit[i], poly[:-1], 0.0)
+        poly *= share[:, i]
+        poly[1:] += taken
+    for i in range(depth):
+        stay = share[:, i]
+        # divide the feature's own factor out again
+        total = np.zeros(hit[i].shape)
+        carry = np.zeros(hit[i].shape)
+        for k in range(depth - 1, -1, -1):
+            carry = np.where(hit[i], poly[k + 1] - stay * carry, poly[k] / stay)
+            total += weights[k] * carry
+        yield (hit[i] - stay) * total
+
+
+def pattern_table(group: PathGroup) -> np.ndarray:
+    """Shapley values by place in the path, and pattern and path: depth x (2^depth * paths).
+
+    What a path adds depends on a mail only by which of its intervals hold, a pattern of
+    ``depth`` bits, so values are worked out once per path and pattern instead of per mail.
+    """
+    _, _, _, share, leaf = group
+    n_paths, depth = share.shape
+    patterns = np.arange(1 << depth)[:, None]
+    hit = [np.broadcast_to((patterns >> i & 1).astype(bool), (1 << depth, n_paths)) for i in range(depth)]
+    return np.stack([(leaf * f).ravel() for f in _factors(hit, share)])
+
+
+def pattern_tables(groups: list[PathGroup], most: int = MOST_PATTERNS) -> list[np.ndarray | None]:
+    """Tables of all groups that fit into ``most`` numbers, shallow paths first."""
+    tables: list[np.ndarray | None] = []
+    for group in groups:  # in order of depth
+        n_paths, depth = group[0].shape
+        most -= n_paths * depth << depth
+        tables.append(pattern_table(group) if most >= 0 else None)
+    return tables
+
+
+def shap_values(
+    x: np.ndarray, groups: list[PathGroup], tables: list[np.ndarray | None] | None = None
+) -> np.ndarray:
     """Shapley values of every row of ``x``, one column per feature."""
     out = np.zeros(x.shape)
-    for feature, low, high, share, leaf in groups:
+    for g, (feature, low, high, share, leaf) in enumerate(groups):
         n_paths, depth = feature.shape
-        weights = np.array(
-            [
-                math.factorial(k) * math.factorial(depth - 1 - k) / math.factorial(depth)
-                for k in range(depth)
-            ]
-        )
+        table = tables[g] if tables else None
         # paths in order of the feature at each place, and where each feature begins
         sums = []
         for i in range(depth):
@@ -110,39 +162,35 @@ def shap_values(x: np.ndarray, groups: list[PathGroup]) -> np.ndarray:
         step = max(1, _CELLS // n_paths)
         for start in range(0, len(x), step):
             rows = x[start : start + step]
-            values = rows[:, feature]
-            inside = (values > low) & (values <= high)
-            # coefficients, by number of features taken from the mail itself
-            poly = np.zeros((depth + 1, len(rows), n_paths))
-            poly[0] = 1.0
-            for i in range(depth):
-                taken = np.where(inside[:, :, i], poly[:-1], 0.0)
-                poly *= share[:, i]
-                poly[1:] += taken
+            hit = []
             for i in range(depth):
-                hit, stay = inside[:, :, i], share[:, i]
-                # divide the feature's own factor out again
-                total = np.zeros(hit.shape)
-                carry = np.zeros(hit.shape)
-                for k in range(depth - 1, -1, -1):
-                    carry = np.where(hit, poly[k + 1] - stay * carry, poly[k] / stay)
-                    total += weights[k] * carry
-                order, columns, starts = sums[i]
-                parts = (leaf * (hit - stay) * total)[:, order]
-                out[start : start + step, columns] += np.add.reduceat(parts, starts, axis=1)
+                values = rows[:, feature[:, i]]
+                hit.append((values > low[:, i]) & (values <= high[:, i]))
+            if table is None:
+                parts = (leaf * f for f in _factors(hit, share))
+            else:
+                cells = np.zeros(hit[0].shape, dtype=np.int64)
+                for i in range(depth - 1, -1, -1):
+                    cells += cells
+                    cells += hit[i]
+                cells *= n_paths
+                cells += np.arange(n_paths)
+                parts = (table[i].take(cells) for i in range(depth))
+            for (order, columns, starts), part in zip(sums, parts):
+                out[start : start + step, columns] += np.add.reduceat(part[:, order], starts, axis=1)
     return out
 
 
 def shap_column(spark: SparkSession, groups: list[PathGroup]) -> Callable[[Column], Column]:
     """A column function from an array of 32 numbers to its 32 Shapley values."""
-    shared = spark.sparkContext.broadcast(groups)
+    shared = spark.sparkContext.broadcast((groups, pattern_tables(groups)))
     width = len(lx.FEATURES)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def shap_udf(features: pa.Array) -> pa.Array:
         wanted = features.drop_null()
         x = np.asarray(wanted.flatten(), dtype=np.float64).reshape(len(wanted), width)
-        phi = shap_values(x, shared.value)
+        phi = shap_values(x, *shared.value)
         sizes = np.where(np.asarray(features.is_valid()), width, 0)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.reshape(-1)))

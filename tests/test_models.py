@@ -252,7 +252,11 @@ def test_shap_against_brute_force():
             weight = math.factorial(size) * math.factorial(3 - size) / math.factorial(4)
             for subset in itertools.combinations(others, size):
                 expected[r, f] += weight * (value(x[r], {*subset, f}) - value(x[r], set(subset)))
-    assert np.abs(shap.shap_values(x, groups) - expected).max() < 1e-12
+    tables = shap.pattern_tables(groups)
+    some = shap.pattern_tables(groups, most=5 * (1 * 2 + 2 * 4 + 3 * 8))
+    assert [t is None for t in some] == [False, False, False, True]
+    for given in (None, tables, some):
+        assert np.abs(shap.shap_values(x, groups, given) - expected).max() < 1e-12
 
 
 def test_classify_with_trained_models_and_explanations(spark, mails, meta, text):

@@ -1,4 +1,5 @@
 import html
+import re
 import sys
 import unicodedata
 
@@ -6,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mailscreen.functions import charsets, entropy, text
+from mailscreen.functions import accents, charsets, entropy, text
 from mailscreen.params import TextOptions
 
 
@@ -155,3 +156,14 @@ def test_entropy_kernel(monkeypatch, slice_bytes):
 
 def test_regex_class_covers_exactly_the_given_characters():
     assert charsets.regex_class("abcx") == r"[\x{61}-\x{63}\x{78}]"
+
+
+def test_tokens_of_accented_text(one):
+    texts = ["Été à Zürich, naïve CAFÉ ﬁne ①② x", "Ёлка й ΆΛΦΑ ни_1", "e\u0301a\u0308 a", "東京 日本語 한국", "plain text"]
+
+    def by_hand(x):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c))
+        return re.findall(r"\w\w+", bare)
+
+    assert [list(r) for r in one(accents.accented_tokens, *texts)] == [by_hand(x) for x in texts]
+    assert one(accents.accented_tokens, texts[-1]) == one(text.tokens, texts[-1])
