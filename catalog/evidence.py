@@ -6,13 +6,17 @@ mails for which a property holds, and the SQL counts all mails.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import duck_sql as d
 from catalog import spark_queries as q
 from mailscreen import lexicons as lx
-from mailscreen.operators import features, forest, metrics, shap
+from mailscreen.functions import text
+from mailscreen.operators import features, forest, metrics, shap, tfidf
 from mailscreen.session import work_folder
 from mailscreen.sources import models
 
@@ -70,6 +74,89 @@ def shap_values_add_up(spark: SparkSession, sf: str) -> DataFrame:
     return _counted(values, F.abs(total - F.col("score_meta")) < CLOSE)
 
 
+def meta_scores_follow_from_saved_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The score is the sum of the leaves whose intervals a mail falls into, tree by tree."""
+    model = q.meta_model(spark, sf)
+    groups, expected = shap.path_groups(
+        shap.node_table(model.forest, spark), model.forest.getNumTrees
+    )
+    # trees of one leaf have no path; what the paths do not expect is theirs
+    single = expected - sum(float(leaf @ share.prod(axis=1)) for _, _, _, share, leaf in groups)
+
+    @F.arrow_udf(T.DoubleType())
+    def leaves(features_of: pa.Array) -> pa.Array:
+        x = np.asarray(features_of.flatten(), dtype=np.float64).reshape(len(features_of), -1)
+        total = np.full(len(x), single)
+        for feature, low, high, _, leaf in groups:
+            for p in range(len(leaf)):
+                held = (x[:, feature[p]] > low[p]) & (x[:, feature[p]] <= high[p])
+                total += leaf[p] * held.all(axis=1)
+        return pa.array(total)
+
+    frame = model.score(features.metadata_features(q.mails(spark, sf), keep=["msg_id"]))
+    record = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in lx.FEATURES])
+    values = frame.select("score_meta", leaves(record).alias("sum"))
+    return _counted(values, F.abs(F.col("sum") - F.col("score_meta")) < CLOSE)
+
+
+def text_scores_follow_from_saved_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores from the saved term table and counted terms, by joins instead of vectors."""
+    path = f"{work_folder(spark, 'models')}/text"
+    model = q.text_model(spark, sf)
+    models.save_text(model, spark, path)
+    terms = F.broadcast(spark.read.parquet(f"{path}/terms"))
+    frame = q.prepared(spark, sf)
+    weight = (1 + F.log("tf")) * F.col("idf")
+    margins = (
+        tfidf.term_freq(frame).join(terms, "term").select("msg_id", weight.alias("w"), "coefficient")
+        .groupBy("msg_id")
+        .agg((F.sum(F.col("w") * F.col("coefficient")) / F.sqrt(F.sum(F.col("w") ** 2))).alias("m"))
+    )
+    scores = model.score(frame).select("msg_id", "score_text", text.is_blank(F.col("prepared_text")).alias("blank"))
+    margin = F.coalesce("m", F.lit(0.0)) + F.lit(model.intercept)
+    expected = F.when(F.col("blank"), 0.0).otherwise(1 / (1 + F.exp(-margin)))
+    both = scores.join(margins, "msg_id", "left")
+    return _counted(both, F.abs(expected - F.col("score_text")) < CLOSE)
+
+
+def importances_follow_from_saved_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Gains of the splits, weighted by what reached them; each tree counts alike."""
+    model = q.meta_model(spark, sf)
+    reached = F.aggregate("impurityStats", F.lit(0.0), lambda a, v: a + v)
+    splits = shap.node_table(model.forest, spark).filter("leftChild >= 0").select(
+        "treeID", F.col("split.featureIndex").alias("position"), (F.col("gain") * reached).alias("gain")
+    )
+    per_tree = splits.groupBy("treeID").agg(F.sum("gain").alias("whole")).filter("whole > 0")
+    shares = splits.join(per_tree, "treeID").groupBy("position").agg(F.sum(F.col("gain") / F.col("whole")).alias("s"))
+    total = shares.agg(F.sum("s")).first()[0]
+    expected = shares.select("position", (F.col("s") / total).alias("e"))
+    table = q.feature_importance(spark, sf).join(expected, "position", "left")
+    near = F.abs(F.coalesce("e", F.lit(0.0)) - F.col("importance")) < CLOSE
+    return table.agg(F.count("*").alias("n_features"), F.count_if(near).alias("n_holding"))
+
+
+def strongest_terms_follow_from_saved_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that fewer than 20 saved coefficients exceed, on either side."""
+    path = f"{work_folder(spark, 'models')}/text"
+    models.save_text(q.text_model(spark, sf), spark, path)
+    terms = spark.read.parquet(f"{path}/terms")
+    sides = None
+    for name, sign in (("phishing", -1), ("legitimate", 1)):
+        pull = F.col("coefficient") * sign
+        last = terms.select(F.get(F.array_sort(F.collect_list(pull)), F.lit(19))).first()[0]
+        side = terms.filter(pull < last)
+        side = side.select(F.lit(name).alias("class"), "term", "coefficient")
+        sides = side if sides is None else sides.union(side)
+    reported = q.top_tokens(spark, sf)
+    found = sides.join(reported, ["class", "term", "coefficient"])
+    # terms below the last place are all reported; ties at the last place may be cut
+    missed = sides.join(reported, ["class", "term", "coefficient"], "left_anti")
+    counts = _beside(
+        reported.agg(F.count("*").alias("n_reported")), missed.agg(F.count("*").alias("n_missed"))
+    )
+    return _beside(counts, found.agg((F.count("*") >= 2).alias("some")))
+
+
 def importances_sum_to_one(spark: SparkSession, sf: str) -> DataFrame:
     table = q.feature_importance(spark, sf)
     n = q.labelled(spark, sf).agg(F.count("*").alias("n_labelled"))
@@ -133,6 +220,8 @@ def vocabulary_of_the_text_model(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
+        meta_scores_follow_from_saved_nodes, text_scores_follow_from_saved_terms,
+        importances_follow_from_saved_nodes, strongest_terms_follow_from_saved_terms,
         meta_scores_are_probabilities, text_scores_are_probabilities,
         saved_meta_model_scores_alike, saved_text_model_scores_alike, shap_values_add_up,
         importances_sum_to_one, token_contributions_add_up, held_out_mails_are_evaluated_once,
@@ -147,6 +236,14 @@ BUCKET = d.BUCKET.replace("content_hash", "md5(msg_id::VARCHAR)")
 SQL = {
     "meta_scores_are_probabilities": ALL_HOLD,
     "text_scores_are_probabilities": ALL_HOLD,
+    "meta_scores_follow_from_saved_nodes": ALL_HOLD,
+    "text_scores_follow_from_saved_terms": ALL_HOLD,
+    "importances_follow_from_saved_nodes": f"""WITH {LABELLED}
+        SELECT {len(lx.FEATURES)}::BIGINT AS n_features,
+        {len(lx.FEATURES)}::BIGINT AS n_holding FROM (SELECT count(*) FROM mails)""",
+    "strongest_terms_follow_from_saved_terms": f"""WITH {LABELLED}
+        SELECT 40::BIGINT AS n_reported, 0::BIGINT AS n_missed, true AS some
+        FROM (SELECT count(*) FROM mails)""",
     "saved_meta_model_scores_alike": ALL_HOLD,
     "saved_text_model_scores_alike": ALL_HOLD,
     "shap_values_add_up": ALL_HOLD,
