@@ -1,18 +1,20 @@
 """Main text of web pages by classifying flat text blocks.
 
-A page is cut into text blocks at block-level tags. A block is described by its own and
-its neighbours' word counts and link densities, and by what encloses it: whether an
-article or main element does, whether a navigation, header, footer, sidebar or form does
-inside of that, and whether class or id names say advert, notice, comments and the like.
-A decision tree, trained by Spark on the small labelled table of `html_samples`, tells
-main text from the rest; its rules travel to the tasks as a list of nodes.
+A page is cut into text blocks at block-level tags. A block is described by its words, the
+share of them in links and the number of these, by words and link density of the blocks
+before and after it, and more weakly by what encloses it: an article or main element, a
+navigation, header, footer, sidebar or form inside of that, class or id names that say advert,
+notice, comments and the like. A decision tree, trained by Spark on the labelled table of
+`html_samples`, tells main text from the rest; its rules travel to the tasks as a list of
+nodes. Pages without class names, or without an article element, are told by words and links.
 
 Scripts, styles and comments never reach a block. Character references are decoded, white
 space in a block becomes one space, blocks are joined in page order by one newline.
 
 Defined results: null or empty html gives an empty text; broken or unclosed markup is read
 as far as it can be; texts of any length are read whole; pages are judged each by itself,
-so ids and urls may be null or repeat.
+so ids and urls may be null or repeat and repeated rows come back as often as they occur; an
+empty table gives no rows; further columns of the input, however named, are ignored.
 """
 
 from __future__ import annotations
@@ -59,11 +61,16 @@ LAYOUT_NAMES = set(
     "ad ads banner breadcrumb breadcrumbs cookie cookies footer header masthead menu nav navbar "
     "navigation share sharing sidebar social tags toolbar widget".split()
 )
+# parts that may stand beside those in a name without giving it another sense
+PLACE_NAMES = set(
+    "area bar block bottom box button buttons container form inner item items left links list outer "
+    "page panel right section site slot text top wrap wrapper".split()
+)
 
+# place: 0 no article or main element on the page, 1 outside of it, 2 inside
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after",
-    "link_density_after", "in_main", "in_boiler", "named_boiler", "is_heading", "in_head",
-    "clear_main", "any_boiler",
+    "link_density_after", "links", "place", "in_boiler", "named_boiler", "is_heading", "in_head",
 )
 
 _HIDDEN = "|".join(HIDDEN_TAGS)
@@ -84,28 +91,36 @@ NAME_PART = re.compile(r"[a-z]+")
 
 
 def _named_boiler(tag: str, attributes: str) -> int:
-    """2 if names say boilerplate, 1 if only layout names do, 0 if none."""
+    """2 if a name says boilerplate, 1 if only layout names do, 0 if none.
+
+    All parts of a name have to go with it: `cookie-notice` and `ad-slot` do, but not
+    `related-work`, `comments-open` or `has-sidebar`.
+    """
     if tag in ("html", "body"):
         return 0
-    parts = {
-        x for m in NAMES.finditer(attributes)
-        for x in NAME_PART.findall("".join(m.groups("")).lower())
-    }
-    if not parts.isdisjoint(BOILER_NAMES - LAYOUT_NAMES):
-        return 2
-    return int(tag not in MAIN_TAGS and not parts.isdisjoint(BOILER_NAMES))
+    found = 0
+    for m in NAMES.finditer(attributes):
+        for name in "".join(m.groups("")).lower().split():
+            parts = set(NAME_PART.findall(name))
+            if parts <= BOILER_NAMES | PLACE_NAMES and not parts.isdisjoint(BOILER_NAMES):
+                found = max(found, 1 if parts.isdisjoint(BOILER_NAMES - LAYOUT_NAMES) else 2)
+    return 0 if tag in MAIN_TAGS and found == 1 else found
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """(text, own features) of every block that has a word; see FEATURES from in_main on."""
+    """(text, own features) of every block that has a word: words, link density, links, in
+    main, in boiler, named, heading, in head."""
     out: list[tuple[str, list[float]]] = []
     # open elements: (tag, in main, in boiler, named, in link, heading, in head)
     stack: list[tuple] = [("", 0, 0, 0, 0, 0, 0)]
     still_open: Counter[str] = Counter()
+    open_blocks: list[int] = []  # places of block elements in the stack
     parts: list[str] = []
     linked: list[str] = []
+    n_links = 0
 
     def end_block() -> None:
+        nonlocal n_links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
@@ -113,13 +128,16 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 in_links = len(html.unescape("".join(linked)).split())
                 _, main, boiler, named, _, heading, head = stack[-1]
                 density = min(1.0, in_links / words)
-                out.append((text, [words, density, main, boiler, int(named > 0), heading, head]))
+                out.append((text, [words, density, n_links, main, boiler, int(named > 0), heading, head]))
             parts.clear()
             linked.clear()
+        n_links = int(stack[-1][4])  # a link that stays open goes on
 
     def close(k: int) -> None:
         still_open.subtract(x[0] for x in stack[k:])
         del stack[k:]
+        while open_blocks and open_blocks[-1] >= k:
+            open_blocks.pop()
 
     for m in TOKEN.finditer(page):
         text = m[5]
@@ -140,18 +158,13 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             if still_open[tag] > 0:
                 close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
-        if tag in VOID_TAGS or m[4].endswith("/"):
+        if tag in VOID_TAGS:  # no other element of HTML closes itself
             continue
-        if tag == "p" or tag == "li":  # both may be left open before the next of their kind
-            if stack[-1][0] == tag:
-                close(len(stack) - 1)
-            elif tag == "p":
-                for k in range(len(stack) - 1, max(0, len(stack) - 4), -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK_TAGS:
-                        break
+        # a paragraph ends where a block begins, an item where the next one does
+        if open_blocks and tag in BLOCK_TAGS:
+            above = stack[open_blocks[-1]][0]
+            if above == "p" or above == tag == "li":
+                close(open_blocks[-1])
         _, main, boiler, named, link, heading, head = stack[-1]
         named = max(named, _named_boiler(tag, m[4]) if m[4] else 0)
         if tag in MAIN_TAGS:
@@ -161,6 +174,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             # an article's own header holds its title
             boiler = int(boiler or not (tag == "header" and main))
         still_open[tag] += 1
+        n_links += tag == "a"
+        if tag in BLOCK_TAGS:
+            open_blocks.append(len(stack))
         stack.append((
             tag, main, boiler, named, int(link or tag == "a"),
             int(heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
@@ -174,13 +190,13 @@ def described(page: str) -> list[tuple[str, list[float]]]:
     """(text, FEATURES) of every block."""
     found = blocks(page)
     none = [0.0, 0.0]
+    some = any(own[3] for _, own in found)
     out = []
     for i, (text, own) in enumerate(found):
         before = found[i - 1][1][:2] if i else none
         after = found[i + 1][1][:2] if i + 1 < len(found) else none
-        main, boiler, named = own[2:5]
-        clear = [int(main and not boiler and not named), int(boiler or named)]
-        out.append((text, [*own[:2], *before, *after, *own[2:], *clear]))
+        place = 2 if own[3] else int(some)
+        out.append((text, [*own[:2], *before, *after, own[2], place, *own[4:]]))
     return out
 
 
@@ -201,7 +217,7 @@ Node = tuple[int, float, int, int, float]  # feature or -1, threshold, left, rig
 
 def trained_tree(spark: SparkSession) -> list[Node]:
     """Nodes of the tree, the root first, from Spark's saved form of the model."""
-    model = DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=1, seed=1).fit(
+    model = DecisionTreeClassifier(maxDepth=10, maxBins=128, seed=1).fit(
         labelled_table(spark).coalesce(1)
     )
     path = work_folder(spark, "html-tree")

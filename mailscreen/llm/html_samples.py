@@ -6,6 +6,8 @@ text, every other text does not.
 
 from __future__ import annotations
 
+import random
+
 _LONG = (
     "The council met on Tuesday to weigh the plan for a new bridge over the river, and "
     "after four hours of talk it put the question off until spring, when the survey of "
@@ -98,14 +100,95 @@ WRAPPED = f"""
 <div class="comments"><article><p>{_LONG}</p></article></div></body>
 """
 
-# articles with nothing after them, of few words, or of links
+# articles with nothing after them, of few words, or of a linked sentence
 BARE = [
     f"<article><p>[+]{_LONG}</p><p>[+]{_SHORT}</p></article>",
     f"<article><h1>[+]One</h1><p>[+]{_MIDDLE}</p></article>",
-    "<main><h1>[+]Sources</h1><p>[+]<a href=/x>The whole list</a></p><p>[+]<a href=/y>Maps</a></p></main>",
+    "<main><h1>[+]Sources</h1><p>[+]<a href=/x>The whole list</a></p><p>[+]Maps</p></main>",
     "<article><h1>[+]Closed</h1></article>",
-    f"<main><ul><li>[+]<a href=/1>Salt</a></li><li>[+]<a href=/2>Flour</a></li></ul><p>[+]{_SHORT}</p></main>",
     f"<article><p>[+]<a href=/a>{_MIDDLE}</a></p></article>",
 ]
 
-PAGES = [ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR, STACKED, FRAMED, WRAPPED, *BARE]
+
+def words(n: int, mark: str = "") -> str:
+    """The first n words of a text without end."""
+    return mark + " ".join((f"{_LONG} {_MIDDLE} " * (n // 50 + 1)).split()[:n])
+
+
+def links(n: int, each: int, tag: str = "") -> str:
+    """n links of so many words, in one block or each in one of its own."""
+    opened, closed = (f"<{tag}>", f"</{tag}>") if tag else ("", " ")
+    return "".join(f"{opened}<a href=/{i}>{words(each)}</a>{closed}" for i in range(n))
+
+
+def _text(draw: random.Random, least: int, most: int) -> int:
+    """A length between two bounds, short ones as likely as long ones."""
+    return round(least * (most / least) ** draw.random())
+
+
+def _links(draw: random.Random) -> str:
+    if draw.random() < 0.4:
+        return f"<div>{links(draw.randrange(2, 15), draw.randrange(1, 5))}</div>"
+    return f"<ul>{links(draw.randrange(2, 9), draw.randrange(1, 9), 'li')}</ul>"
+
+
+def _outside(draw: random.Random, most: int) -> str:
+    """Blocks around an article; without an element around it, only short text among links."""
+    out = ""
+    for _ in range(draw.randrange(0, 4)):
+        text = words(_text(draw, 1, most))
+        out += draw.choice([
+            _links(draw), f"<div>{text}</div>", f"<p>{text}</p>",
+            f"<header><p>{words(_text(draw, 1, 60))}</p></header>", f"<aside>{words(_text(draw, 2, 90))}</aside>",
+        ])
+    return out
+
+
+def _inside(draw: random.Random, enclosed: bool) -> str:
+    """An article's blocks; where nothing encloses it, short paragraphs stand between long ones."""
+    out = f"<h1>{words(_text(draw, 1, 30), '[+]')}</h1>" if draw.random() < 0.8 else ""
+    if draw.random() < 0.3:
+        out = f"<header>{out}</header>" if enclosed else f"<div>{out}</div>"
+    n = draw.randrange(1, 9)
+    for i in range(n):
+        least = 1 if enclosed or 0 < i < n - 1 and draw.random() < 0.4 else 25
+        tag = draw.choice(["p", "p", "p", "div", "blockquote"])
+        text = words(_text(draw, least, 250), "[+]")
+        if draw.random() < 0.15:  # a link or two in a sentence
+            text += " " + links(draw.randrange(1, 3), 1)
+        out += f"<{tag}>{text}</{tag}>"
+        if i < n - 1 and draw.random() < 0.15:
+            out += draw.choice([
+                _links(draw), f"<aside>{words(40)}</aside>", f"<nav>{links(3, 2, 'li')}</nav>",
+                f"<form><p>{words(12)}</p></form>", f"<div class='related'>{words(_text(draw, 3, 60))}</div>",
+            ])
+    return out
+
+
+def layouts(n: int = 400) -> list[str]:
+    """Pages by rule: link lists, side texts and paragraphs of all lengths, so that words and
+    links of a block and of those beside it tell main text from the rest."""
+    draw, pages = random.Random(7), []
+    for i in range(n):
+        tag = ["", "article", "main", ""][i % 4]
+        before, after = _outside(draw, 60 if tag else 5), _outside(draw, 60 if tag else 9)
+        if not tag:
+            before = before and before + _links(draw)  # the article follows links
+            after = after and _links(draw) + after
+        inside = _inside(draw, bool(tag))
+        footer = f"<footer>{words(_text(draw, 2, 60))}</footer>" if draw.random() < 0.7 else ""
+        opened, closed = (f"<{tag}>", f"</{tag}>") if tag else ("", "")
+        pages.append(f"<body>{before}{opened}{inside}{closed}{after}{footer}</body>")
+    # whole pages of one paragraph, and short articles
+    pages += [f"<body><p>{words(n, '[+]')}</p></body>" for n in (1, 2, 4, 7, 12, 30, 90)]
+    pages += [f"<body><div>{links(n, 2)}</div></body>" for n in (2, 5, 12)]
+    pages += [
+        f"<nav>{links(4, 1, 'li')}</nav><div>{words(a)}</div><article><p>{words(b, '[+]')}</p><p>{words(c, '[+]')}</p></article><footer>{words(c + 9)}</footer>"
+        for a in (3, 9, 40) for b in (1, 6, 20) for c in (1, 4)
+    ]
+    return pages
+
+
+PAGES = [
+    ARTICLE, SHORT_ARTICLE, MAIN, PLAIN, TABLES, SIDEBAR, STACKED, FRAMED, WRAPPED, *BARE, *layouts(),
+]
