@@ -116,19 +116,23 @@ def repeated_runs(docs: DataFrame, params: PassageParams = PassageParams()) -> D
     """doc_id, text_hash, first, n of every window that equals an earlier one."""
     windows = written(passage_windows(docs, params), "lines-windows")
     place = F.xxhash64("doc_id", "text_hash", "first")
-    shared = (
+    # what windows are joined with is written first, so that both sides are dealt out for the
+    # join alone and a fingerprint or key that stands in very many places can be split
+    shared = written(
         windows.groupBy("fingerprint")
         .agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-        .filter("lo <> hi").select("fingerprint")
+        .filter("lo <> hi").select("fingerprint"),
+        "lines-shared",
     )
     candidates = written(
         windows.join(shared, "fingerprint", "left_semi").drop("fingerprint"), "lines-candidates"
     )
     where = F.struct("doc_id", "text_hash", "first")
-    origin = (
+    origin = written(
         candidates.groupBy("k1", "k2")
         .agg(F.min(where).alias("origin"), F.max(where).alias("last"))
-        .filter("origin <> last").select("k1", "k2", "origin")
+        .filter("origin <> last").select("k1", "k2", "origin"),
+        "lines-origins",
     )
     here = F.struct("doc_id", "text_hash")
     there = F.struct("origin.doc_id", "origin.text_hash")
