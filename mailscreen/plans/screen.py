@@ -63,14 +63,21 @@ def classify(
     options: TextOptions = TextOptions(),
     keep: list[str] | None = None,
     explainer=None,
+    where: Column | str | None = None,
 ) -> DataFrame:
     """Prediction records for a frame with ``subject`` and ``body``.
 
+    ``where`` picks the mails to screen by their own columns. It stands below the first
+    stage, so it prunes partitions and row groups at the scan; a filter on the records stops
+    at the stages (see ``session.settled``), which it must not repeat, and screens every mail.
+
     ``explainer`` is a function that appends ``explanation_items`` (ordered array of
     feature and value) to the scored frame, for instance from
     :func:`mailscreen.operators.shap.explainer`; without one, explanations are null.
     """
     keep = [c for c in df.columns if c not in ("subject", "body")] if keep is None else keep
+    if where is not None:
+        df = df.filter(where)
     scored = score_stages(df, params, meta_scorer, text_scorer, options, keep)
     if explainer is not None and params.explain:
         scored = explainer(scored, params.top_k)

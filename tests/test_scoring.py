@@ -137,3 +137,19 @@ def test_feature_vector_fills_missing_and_keeps_order(mails):
     assert v.size == 32
     assert v[lx.FEATURES.index("has_form")] == 0.0
     assert v[lx.FEATURES.index("has_iframe")] == 1.0
+
+
+def test_where_reaches_the_scan(spark, tmp_path):
+    folder = str(tmp_path / "mails")
+    rows = [(i, "a" if i % 2 else "b", "hello", f"verify account {i}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "msg_id long, dataset_source string, subject string, body string")
+    frame.write.partitionBy("dataset_source").parquet(folder)
+    mails = spark.read.parquet(folder)
+    picked = screen.classify(mails, where="dataset_source = 'a' and msg_id > 10")
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan"):]
+    assert "(dataset_source" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThan(msg_id,10)" in scan.split("PushedFilters: [")[1]
+    later = screen.classify(mails).filter("dataset_source = 'a' and msg_id > 10")
+    assert sorted(map(str, picked.collect())) == sorted(map(str, later.collect()))
+    assert picked.count() == 5
