@@ -13,7 +13,8 @@ What keeps the plan narrow: documents are scanned once and nothing but hits leav
 row. The test against all fingerprints is a bit table of bounded size built by Spark and
 held as a constant; a false positive costs one row in the exact join.
 
-Defined results: null or empty texts have no words and no hits; rows equal in doc_id and
+Defined results: null or empty texts have no words and no hits, very long ones are searched
+whole; rows equal in doc_id and
 text are counted as often as they occur; items without words match nothing; equal items
 are all reported; null item ids are reported as the empty string; without items nothing
 is hit. Further columns of either table are ignored.

@@ -13,9 +13,10 @@ the ones with the smallest hash of their id, and each row of the rarer kind meet
 others. Label counts and the quantile know no sample.
 Scores are computed for every document. Features are ratios of the text alone.
 
-Defined results: null or empty texts are scored by their zero features; null ids are not
+Defined results: null or empty texts are scored by their zero features, very long ones whole; null ids are not
 held out and have no label; repeated rows are scored alike; if either label is missing
-there is no pair, all weights are 0, and every score equals `cut`.
+there is no pair, all weights are 0, and every score equals `cut`; without documents there are
+no rows; further columns of either table are ignored.
 """
 
 from __future__ import annotations

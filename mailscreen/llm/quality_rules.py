@@ -14,7 +14,8 @@ and the iteration runs on that bounded table on the driver, over the votes of al
 documents. Rates have weak priors that say rules are right more often than not, which
 also fixes which side is the good one and gives a defined result for empty tables.
 
-Defined results: null or empty texts have no words and fail the base rule; repeated rows
+Defined results: null or empty texts have no words and fail the base rule; very long texts
+are counted whole; repeated rows
 count as often as they occur; other columns pass through and null ids are ids like any
 other. Columns named as an added one are replaced.
 """

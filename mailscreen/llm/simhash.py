@@ -18,7 +18,7 @@ Two fingerprints within two bits share such a neighbour, so nothing is capped or
 Components come from alternating large and small stars, every round a written table.
 
 Defined results: null or empty texts and texts without words have fingerprint zero and
-link like any other; null ids take part but are no component id unless all ids of the
+link like any other; very long texts are hashed whole, in blocks; null ids take part but are no component id unless all ids of the
 component are null; repeated rows come back as often as they occur. Further columns of
 the input are ignored by `components` and pass through `keep_one`.
 """

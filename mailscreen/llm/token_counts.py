@@ -8,7 +8,12 @@ symbols less the merges; token identifiers are never formed. Counts of short pie
 remembered within a task, in a table of bounded size.
 
 The vocabulary file is read on the driver and sent to the tasks; it does not grow with
-the data. Null text counts as empty: no bytes, no tokens.
+the data.
+
+Defined results: null and empty texts have no bytes and no tokens; texts of any length are
+counted whole; rows are judged each by itself, so ids may be null or repeat and repeated
+rows come back as often as they occur; an empty table gives no rows; further columns of the
+input, however named, are ignored.
 """
 
 from __future__ import annotations

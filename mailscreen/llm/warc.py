@@ -18,7 +18,8 @@ behind is never seen. Folders are reached through pyarrow.fs, by URI.
 
 Defined results: null html is an empty payload; null urls and ids are left out of the
 record and come back as null; rows that repeat the smallest page_id are all responses;
-payloads whose ids are all null are responses; an empty table gives no archive.
+payloads whose ids are all null are responses; payloads of any length are one record; an
+empty table gives no archive; further columns of the input are ignored.
 """
 
 from __future__ import annotations
