@@ -6,6 +6,12 @@ costs one stage at most.
 
 SQL cannot express the first stage, which estimates the rules' accuracies by iteration, so
 there is no ORACLE_SQL; tests hold each stage against a plain Python version.
+
+Defined results, in every stage: null and empty texts are documents without words, which the
+first stage rejects and the others keep, but for copies of one another; very long texts are
+read whole; of repeated rows one stays after near-dedup; null ids, languages and sources are
+values like any other; an empty table stays empty; further columns pass through, also those
+named as a stage might name its own.
 """
 
 from __future__ import annotations
