@@ -711,7 +711,7 @@ def stream_classify(spark, sf):
 
 def stream_dedup(spark, sf):
     # event times spread over 30 days in every file
-    slots = jobs.stream_dedup(_arriving(spark, sf, 4), delay="30 days")
+    slots = jobs.stream_dedup(_arriving(spark, sf, 2), delay="30 days")
     _, rows = merged.drain_merged(slots, jobs.FIRST, jobs.first_values(), "stream-dedup", "update")
     return jobs.first_mails(rows).select(
         "content_hash", "msg_id", F.unix_timestamp("event_ts").alias("event_ts")
