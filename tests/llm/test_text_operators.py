@@ -391,3 +391,52 @@ def test_value_at_a_rank_is_exact(spark, monkeypatch, bins):
     frame = spark.createDataFrame([(v,) for v in values], "s double")
     for rank in (1, 7, 30, 31, 59, 60):
         assert quality_ranker.at_rank(frame, rank) == sorted(values)[rank - 1]
+
+
+def newton(x, y, regularisation):
+    """Weights of the logistic loss on standardised features with a ridge, by Newton's method."""
+    spread = x.std(axis=0, ddof=1)
+    used = spread > 0
+    z = x[:, used] / spread[used]
+    w = np.zeros(z.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        gradient = z.T @ (p - y) / len(y) + regularisation * w
+        hessian = (z * (p * (1 - p))[:, None]).T @ z / len(y) + regularisation * np.eye(len(w))
+        w -= np.linalg.solve(hessian, gradient)
+    out = np.zeros(x.shape[1])
+    out[used] = w / spread[used]
+    return out
+
+
+def test_ranker_by_hand(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    params = quality_ranker.RankParams()
+    draw = F.xxhash64("doc_id", F.lit(params.seed)).alias("draw")
+    rows = quality_ranker.measured(docs).join(labels, "doc_id", "left").select("doc_id", "x", "quality", draw).collect()
+    learnt = sorted(
+        (r for r in rows if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5),
+        key=lambda r: (r.draw, r.doc_id),
+    )
+    of = {q: [r.x for r in learnt if r.quality == q] for q in (0, 1)}
+    rare = 0 if len(of[0]) <= len(of[1]) else 1
+    keys = [(p, k) for p in range(len(of[rare])) for k in range(params.partners)]
+    frame = spark.createDataFrame(keys, "place int, k int").select(
+        "place", "k", F.pmod(F.xxhash64("place", "k", F.lit(params.seed)), F.lit(len(of[1 - rare]))).alias("partner")
+    )
+    x, y = [], []
+    for p, k, partner in frame.collect():
+        difference = np.array(of[rare][p]) - np.array(of[1 - rare][partner])
+        x.append(-difference if k % 2 else difference)
+        y.append(rare if k % 2 == 0 else 1 - rare)
+    weights = newton(np.array(x), np.array(y, float), params.regularisation)
+    line = {r.doc_id: float(np.dot(weights, r.x)) for r in rows}
+    quantile = sorted(line[r.doc_id] for r in learnt)[len(of[0]) - 1]
+    got = quality_ranker.ranked(docs, labels).collect()
+    shift = np.log(params.cut / (1 - params.cut))
+    for r in got:
+        margin = line[r.doc_id] - quantile
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(margin + shift))), abs=0.02)
+        if abs(margin) > 0.1:
+            assert r.predicted == (margin > 0)
