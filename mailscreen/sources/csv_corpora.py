@@ -3,52 +3,38 @@
 from __future__ import annotations
 
 import logging
-import re
-from functools import partial, reduce
-from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscreen import lexicons as lx
 from mailscreen.operators import corpus
 from mailscreen.operators.corpus import SourceSpec
-from mailscreen.session import work_folder
+from mailscreen.sources import csv_ranges
 
 log = logging.getLogger(__name__)
 
-_SURPLUS, _FILE = "_surplus_cell", "_source_file"
-# A quoted cell may span lines, so Spark parses one file in one task.
-_LARGE_FILE = 8 << 30
 
-
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Files behind a path (file, directory or glob) with their sizes; empty if absent."""
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files behind a path (file, directory or glob); empty if absent."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     found = []
     for status in fs.globStatus(pattern) or []:
         inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
         found += [
-            (s.getPath().toString(), s.getLen())
+            s.getPath().toString()
             for s in inner
             if s.isFile() and not s.getPath().getName().startswith(("_", "."))
         ]
     return found
 
 
-def not_utf8(spark: SparkSession, files: list[str]) -> set[str]:
-    """The files that hold a line which is not UTF-8, decided for each by itself."""
-    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"))
-    broken = lines.filter(~F.is_valid_utf8("value")).select("file").distinct().collect()
-    return {_plain(r.file) for r in broken}
-
-
-def _plain(path: str) -> str:
-    """A file's path without the variants of writing its scheme, percent-decoded."""
-    return unquote(re.sub(r"^file:/*", "/", path))
+def _plain_cell(cell: Column) -> Column:
+    """A cell, or null if it is a usual spelling of a missing one."""
+    return F.when(~cell.isin(*lx.MISSING_CELLS), cell)
 
 
 def read_csv(
@@ -57,40 +43,14 @@ def read_csv(
     """All-string rows of CSV files, and the malformed rows set aside as (file, cells).
 
     Every file is read by its own header and, where UTF-8 is declared, as Latin-1 if it is
-    not UTF-8; files that agree in both are read together, and columns meet by name. A
-    row with more cells than its header is malformed; one with fewer is padded with
-    nulls. The usual spellings of a missing cell become null.
+    not UTF-8; columns meet by name. A row with more cells than its header is malformed; one
+    with fewer is padded with nulls. The usual spellings of a missing cell become null. A
+    file is read by as many tasks as it has ranges, though cells may span lines.
     """
-    reader = (
-        spark.read.option("header", True).option("multiLine", True).option("sep", sep)
-        .option("quote", '"').option("escape", '"').option("inferSchema", False)
-        # keep empty cells apart from absent ones until the surplus check is done
-        .option("nullValue", "\x00").option("emptyValue", "").option("maxCharsPerColumn", -1)
-    )
-    declared_utf8 = encoding.upper().replace("-", "") == "UTF8"
-    latin = not_utf8(spark, files) if declared_utf8 else set()
-    groups: dict[tuple, list[str]] = {}
-    for name in files:
-        actual = "ISO-8859-1" if _plain(name) in latin else encoding
-        if actual != encoding:
-            log.warning("%s is not valid UTF-8; reading it as Latin-1", name)
-        columns = tuple(reader.option("encoding", actual).csv(name).columns)
-        groups.setdefault((actual, columns), []).append(name)
-
-    good, malformed = [], []
-    for (actual, columns), names in groups.items():
-        schema = ", ".join(f"`{c}` string" for c in [*columns, _SURPLUS])
-        rows = reader.option("encoding", actual).option("mode", "PERMISSIVE").schema(schema)
-        rows = rows.csv(names).withColumn(_FILE, F.col("_metadata.file_path"))
-        surplus = F.col(_SURPLUS).isNotNull()
-        cells = F.array(*[F.col(f"`{c}`") for c in [*columns, _SURPLUS]])
-        malformed.append(rows.filter(surplus).select(F.col(_FILE).alias("file"), cells.alias("cells")))
-        good.append(rows.filter(~surplus).select(*(
-            F.when(~F.col(f"`{c}`").isin(*lx.MISSING_CELLS), F.col(f"`{c}`")).alias(c)
-            for c in columns
-        )))
-    by_name = partial(DataFrame.unionByName, allowMissingColumns=True)
-    return reduce(by_name, good), reduce(DataFrame.unionByName, malformed)
+    rows, malformed, latin = csv_ranges.read(spark, files, encoding, sep, _plain_cell)
+    for name in latin:
+        log.warning("%s is not valid UTF-8; reading it as Latin-1", name)
+    return rows, malformed
 
 
 def load_parts(
@@ -98,8 +58,7 @@ def load_parts(
 ) -> tuple[DataFrame, DataFrame] | None:
     """One corpus as raw rows and set-aside rows, or None (with a log entry).
 
-    None is for a corpus that is absent or cannot be planned; a file that turns out to be
-    unreadable while it is read ends the job.
+    None is for a corpus that is absent, or has a file that cannot be read to its end.
     """
     path = f"{raw_dir.rstrip('/')}/{spec.filename}"
     try:
@@ -107,14 +66,8 @@ def load_parts(
         if not files:
             log.error("[%s] no such file: %s", spec.name, path)
             return None
-        for name, size in files:
-            if size > _LARGE_FILE:
-                log.warning(
-                    "[%s] %s has %.1f GB and is parsed by one task; deliver it as a "
-                    "directory of part files to read it in parallel", spec.name, name, size / 1e9,
-                )
-        return read_csv(spark, [name for name, _ in files], spec.encoding, spec.sep)
-    except (AnalysisException, Py4JJavaError) as error:  # the other corpora go on
+        return read_csv(spark, files, spec.encoding, spec.sep)
+    except (PySparkException, Py4JJavaError, ValueError) as error:  # the other corpora go on
         log.error("[%s] cannot read %s: %s", spec.name, path, error)
         return None
 
@@ -124,13 +77,6 @@ def load_source(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFram
     return None if parts is None else parts[0]
 
 
-def landed(df: DataFrame, purpose: str) -> DataFrame:
-    """Parse once: the rows as a written table, for the label check and the result."""
-    path = work_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def build_unified(
     spark: SparkSession, raw_dir: str, names: list[str] | None = None,
     rejects: str | None = None,
@@ -146,7 +92,7 @@ def build_unified(
         if parts is None:
             continue
         rows, malformed = parts
-        frames[spec.name] = landed(rows, f"csv-{spec.name}")
+        frames[spec.name] = rows
         if rejects is not None:
             path = f"{rejects.rstrip('/')}/dataset_source={spec.name}"
             malformed.write.mode("overwrite").parquet(path)
