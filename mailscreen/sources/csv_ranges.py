@@ -12,6 +12,8 @@ The first pass also tells each file's encoding and header, so no further one is
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -36,206 +38,183 @@ _SURVEY = (
 )
 _PARSED = "layout int, file string, start long, seam long, lost boolean, text string, cells array<string>"
 
-# up to the quote that closes a cell, or to the end of the text
-_QUOTED_BYTES = re.compile(rb'(?:[^"]++|"")*+("?)')
-_QUOTED = re.compile(r'(?:[^"]++|"")*+("?)')
-_LINES = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)")
+_BOM = b"\xef\xbb\xbf"
 
 
-def _stays_open(line: bytes, inside: bool, opener: bytes) -> bool:
-    """Whether a line that starts inside or outside of a quoted cell ends inside of one.
+class _Grammar:
+    """Patterns of whole records for one separator.
 
-    A quote opens a cell only as its first character; elsewhere in a plain cell it is text.
+    A quote opens a cell only as its first character; elsewhere in a plain cell it is text, as
+    is what follows a closing quote. Line ends outside of quotes end a record, so text after the
+    last whole record always ends inside of a quoted cell.
     """
-    if b'"' not in line:
-        return inside
-    if inside:
+
+    def __init__(self, sep: str):
+        s = re.escape(sep)
+        plain = rf"[^{s}\r\n]*+"
+        quoted = rf'(?:[^"]++|"")*+"{plain}'
+        cell = rf'(?:"{quoted}|(?!"){plain})'
+        rest = rf"(?:{s}{cell})*+(?:\r\n?|\n)"
+        self.sep, self.blank = sep, "".join(c for c in " \t\r\n" if c != sep)
+        self.record = re.compile(f"{cell}{rest}".encode())
+        self.records = re.compile(f"(?:{cell}{rest})*+".encode())
+        self.remainder = re.compile(f"{quoted}{rest}".encode())
+
+    def whole(self, data: bytes, inside: bool) -> tuple[int, int]:
+        """Where the record ends that is open at the start, and where the last whole one does;
+        (-1, -1) if the open record goes on."""
+        first = 0
+        if inside:
+            found = self.remainder.match(data)
+            if found is None:
+                return -1, -1
+            first = found.end()
+        return first, self.records.match(data, first).end()
+
+    def first_filled(self, data: bytes) -> bytes | None:
+        """The first whole record that is not blank."""
         at = 0
-    elif line.startswith(b'"'):
-        at = 1
-    else:
-        at = line.find(opener) + len(opener)
-        if at < len(opener):
-            return False
-    while True:
-        found = _QUOTED_BYTES.match(line, at)
-        if found.start(1) == found.end(1):
-            return True
-        at = line.find(opener, found.end()) + len(opener)
-        if at < len(opener):
-            return False
-
-
-def _cells(record: str, sep: str) -> list[str]:
-    if '"' not in record:
-        return record.split(sep)
-    cells, at = [], 0
-    while True:
-        cell = ""
-        if record.startswith('"', at):
-            found = _QUOTED.match(record, at + 1)
-            cell = record[at + 1 : found.start(1)].replace('""', '"')
+        while found := self.record.match(data, at):
+            if found.group().strip(self.blank.encode()):
+                return found.group()
             at = found.end()
-        end = record.find(sep, at)
-        if end < 0:
-            cells.append(cell + record[at:])
-            return cells
-        cells.append(cell + record[at:end])
-        at = end + len(sep)
-
-
-def _unended(record: str) -> str:
-    """A record without its line end."""
-    if record.endswith("\r\n"):
-        return record[:-2]
-    return record[:-1] if record.endswith(("\n", "\r")) else record
-
-
-def _blank_chars(sep: str) -> str:
-    return "".join({" ", "\t", "\r", "\n"} - {sep})
+        return None
 
+    def rows(self, text: str) -> list[list[str]]:
+        """Cells of whole records without blank ones: no cell, or one of white space."""
+        csv.field_size_limit(2**31 - 1)
+        return [
+            r for r in csv.reader(io.StringIO(text, newline=""), delimiter=self.sep)
+            if r and (len(r) > 1 or not r[0] or r[0].strip(self.blank))
+        ]
 
-def _lines_of(values: list[bytes]) -> Iterator[bytes]:
-    """Lines with their ends; a carriage return alone ends a line as well."""
-    for value in values:
-        if b"\r" in value:
-            yield from _LINES.findall(value + b"\n")
-        else:
-            yield value + b"\n"
 
-
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that lie in one range of one file."""
     keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("file_hash", "start")]
     new = (np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0)
     edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-    yield from zip(edges, edges[1:])
+    for first, stop in zip(edges, edges[1:]):
+        if stop > first:
+            yield batch.slice(first, stop - first)
+
+
+def _first(part: pa.RecordBatch, column: str):
+    return part.column(column)[0].as_py()
+
+
+def _data(part: pa.RecordBatch, starts_file: bool) -> bytes:
+    data = b"\n".join([*part.column("value").to_pylist(), b""])
+    return data.removeprefix(_BOM) if starts_file else data
 
 
 def _surveyor(sep: str) -> Callable:
     """Kernel: a row for each range, with its ends from both starts."""
-    opener, blank = sep.encode() + b'"', _blank_chars(sep).encode()
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = _Grammar(sep)
         schema = pa.schema([
             ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()),
             *((c, pa.bool_()) for c in
               ("from_outside", "from_inside", "ends_outside", "ends_inside", "utf8")),
             ("header", pa.binary()),
         ])
-        key, row, head = None, None, []
-
-        def done():
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
+        key, row, head = None, None, b""
         for batch in batches:
-            for first, stop in _runs(batch):
-                part = batch.slice(first, stop - first)
-                here = (part.column("file_hash")[0].as_py(), part.column("start")[0].as_py())
+            for part in _runs(batch):
+                here = (_first(part, "file_hash"), _first(part, "start"))
+                data = _data(part, here != key and here[1] == 0)
                 if here != key:
                     if row is not None:
-                        yield done()
-                    key, head = here, []
+                        yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    key, head = here, b""
                     row = {
-                        "file": part.column("file")[0].as_py(), "start": here[1],
-                        "length": part.column("length")[0].as_py(),
+                        "file": _first(part, "file"), "start": here[1],
+                        "length": _first(part, "length"),
                         "from_outside": False, "from_inside": True,
                         "ends_outside": False, "ends_inside": False, "utf8": True, "header": None,
                     }
-                values = part.column("value").to_pylist()
                 if row["utf8"]:
                     try:
-                        b"\n".join(values).decode()
+                        data.decode()
                     except UnicodeDecodeError:
                         row["utf8"] = False
-                a, b = row["from_outside"], row["from_inside"]
-                ended_a, ended_b = row["ends_outside"], row["ends_inside"]
-                for line in _lines_of(values):
-                    if b'"' in line:
-                        same = a == b
-                        a = _stays_open(line, a, opener)
-                        b = a if same else _stays_open(line, b, opener)
-                    ended_a, ended_b = ended_a or not a, ended_b or not b
-                    if here[1] == 0 and row["header"] is None:
-                        head.append(line)
-                        if not a:
-                            record = b"".join(head)
-                            head = []
-                            if record.removeprefix(b"\xef\xbb\xbf").strip(blank):
-                                row["header"] = record
-                row.update(from_outside=a, from_inside=b, ends_outside=ended_a, ends_inside=ended_b)
+                ends = {}
+                for side in ("outside", "inside"):
+                    inside = row[f"from_{side}"]
+                    if inside not in ends:
+                        ends[inside] = grammar.whole(data, inside)[1]
+                    row[f"from_{side}"] = ends[inside] < len(data)
+                    row[f"ends_{side}"] |= ends[inside] > 0
+                if here[1] == 0 and row["header"] is None:
+                    head += data
+                    row["header"] = grammar.first_filled(head)
         if row is not None:
-            yield done()
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return survey
 
 
 def _cutter(sep: str, encoding: str) -> Callable:
     """Kernel: the records of each range, and its pieces of records over an edge."""
-    opener, blank = sep.encode() + b'"', _blank_chars(sep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            ("layout", pa.int32()), ("file", pa.string()), ("start", pa.int64()),
-            ("seam", pa.int64()), ("lost", pa.bool_()), ("text", pa.string()),
-            ("cells", pa.list_(pa.string())),
-        ])
+        grammar = _Grammar(sep)
+        types = {
+            "layout": pa.int32(), "file": pa.string(), "start": pa.int64(), "seam": pa.int64(),
+            "lost": pa.bool_(), "text": pa.string(), "cells": pa.list_(pa.string()),
+        }
         key, info, codec = None, {}, encoding
         inside = entered = headed = False
-        buffer: list[bytes] = []
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+        pending: list[bytes] = []  # of the open record
 
-        def base():
-            return {k: info[k] for k in ("layout", "file", "start")}
+        def rows_of(n, **columns):
+            columns = {c: [info[c]] * n for c in ("layout", "file", "start")} | columns
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns.get(c, [None] * n), t) for c, t in types.items()], list(types)
+            )
 
-        def piece(seam, lost):
-            text = b"".join(buffer).decode(codec)
-            buffer.clear()
-            return base() | {"seam": seam, "lost": lost, "text": text, "cells": None}
+        def piece(data, seam, lost=False):
+            return rows_of(1, seam=[seam], lost=[lost], text=[data.decode(codec)])
 
         def last_piece():
-            lost = info["lost_seam"] is not None and info["lost_seam"] == info["seam_out"]
-            return batch_of([piece(info["seam_out"], lost)])
+            seam = info["seam_out"]
+            return piece(b"".join(pending), seam, seam == info["lost_seam"])
 
         for batch in batches:
-            for first, stop in _runs(batch):
-                part = batch.slice(first, stop - first)
-                here = (part.column("file_hash")[0].as_py(), part.column("start")[0].as_py())
+            for part in _runs(batch):
+                here = (_first(part, "file_hash"), _first(part, "start"))
+                data = _data(part, here != key and here[1] == 0)
                 if here != key:
-                    if buffer:
+                    if pending:
                         yield last_piece()
+                        pending = []
                     key = here
                     info = {
-                        c: part.column(c)[0].as_py()
-                        for c in part.schema.names if c not in ("value", "file_hash")
+                        c: _first(part, c) for c in part.schema.names
+                        if c not in ("value", "file_hash")
                     }
                     codec = "latin-1" if info["latin"] else encoding
                     inside = entered = info["inside"]
                     headed = here[1] != 0
-                rows = []
-                for line in _lines_of(part.column("value").to_pylist()):
-                    buffer.append(line)
-                    inside = _stays_open(line, inside, opener)
-                    if inside:
-                        continue
-                    if entered:  # the end of a record that began in an earlier range
-                        entered = False
-                        rows.append(piece(info["seam_in"], False))
-                        continue
-                    record = (buffer[0] if len(buffer) == 1 else b"".join(buffer)).decode(codec)
-                    buffer.clear()
-                    if not headed:
-                        headed = bool(record.removeprefix("\ufeff").strip(blank))
-                    elif record.strip(blank):
-                        cells = _cells(_unended(record), sep)
-                        rows.append(base() | {
-                            "seam": None, "lost": False, "text": None, "cells": cells
-                        })
+                first, end = grammar.whole(data, inside)
+                if end < 0:
+                    pending.append(data)
+                    continue
+                pending.append(data[:first])
+                done = b"".join(pending)
+                if entered and first:  # the end of a record that began in an earlier range
+                    yield piece(done, info["seam_in"])
+                    entered, done = False, b""
+                rows = grammar.rows((done + data[first:end]).decode(codec))
+                if rows and not headed:
+                    headed = True
+                    del rows[0]
                 if rows:
-                    yield batch_of(rows)
-        if buffer:
+                    yield rows_of(len(rows), lost=[False] * len(rows), cells=rows)
+                inside = end < len(data)
+                pending = [data[end:]] if inside else []
+        if pending:
             yield last_piece()
 
     return cut
@@ -243,9 +222,11 @@ def _cutter(sep: str, encoding: str) -> Callable:
 
 def _stitched(sep: str) -> Callable:
     """Kernel: cells of records whose pieces were put together."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = _Grammar(sep)
         for batch in batches:
-            cells = [_cells(_unended(t), sep) for t in batch.column("text").to_pylist()]
+            cells = [grammar.rows(t)[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("layout"), batch.column("file"),
                  pa.array(cells, pa.list_(pa.string()))],
@@ -349,6 +330,7 @@ def read(
     codec = "utf-8" if declared_utf8 else encoding
     if "\n".encode(codec) != b"\n" or len(sep.encode()) != 1:
         raise ValueError(f"lines and cells cannot be told by their bytes: {encoding}, {sep!r}")
+    grammar = _Grammar(sep)
     with fixed_ranges(spark):
         ranges = placed(survey(spark, files, sep))
         if not declared_utf8:
@@ -362,8 +344,8 @@ def read(
                 raise ValueError(f"{r.file} has no header that ends in its first range")
             if (r.header, r.latin) in layouts:
                 continue
-            text = _unended(bytes(r.header).decode("latin-1" if r.latin else codec))
-            names = tuple(column_names(_cells(text.removeprefix("\ufeff"), sep)))
+            text = bytes(r.header).decode("latin-1" if r.latin else codec)
+            names = tuple(column_names(grammar.rows(text)[0]))
             if names not in columns:
                 columns.append(names)
             layouts[r.header, r.latin] = columns.index(names)
