@@ -39,7 +39,7 @@ def accented_tokens(c: Column) -> Column:
 
     Accents go, letters of all alphabets stay. On folded text this equals ``tokens``.
     """
-    word = charsets.class_where(_in_word)
+    word = charsets.nested_class_where(_in_word)
     return F.regexp_extract_all(without_accents(F.lower(c)), F.lit(f"{word}{{2,}}"), F.lit(0))
 
 
