@@ -50,7 +50,7 @@ class MergedTable:
     def add(self, rows: DataFrame, batch: int) -> None:
         """Add a batch; for ``foreachBatch``."""
         spark = rows.sparkSession
-        delta = self._merged(rows).coalesce(1)  # combined before; a few rows a key
+        delta = self._merged(rows)
         delta.write.mode("overwrite").parquet(f"{self.path}/delta/{batch}")
         if (batch + 1) % self.every == 0:
             self.compact(spark, delta, batch)

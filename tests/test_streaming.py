@@ -1,8 +1,10 @@
+import glob
 import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from catalog import mail_tables, spark_queries
 from mailscreen.plans import screen
 from mailscreen.streaming import jobs, merged
 
@@ -139,3 +141,28 @@ def test_merged_table_without_batches(spark, tmp_path):
     empty = spark.createDataFrame([], "k long, n long")
     table = merged.MergedTable(str(tmp_path / "none"), ["k"], [F.sum("n").alias("n")])
     assert table.read(spark, empty).collect() == [] and table.folders(spark) == 0
+
+
+def test_stream_input_has_more_files_as_it_grows(spark, sf_dir, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    seen = []
+    monkeypatch.setattr(jobs, "read_mails", lambda spark, folder, schema, max_files: seen.append(
+        (max_files, len(glob.glob(f"{folder}/*.parquet")))))
+    for splits in (1, 10 * cores):
+        monkeypatch.setattr(mail_tables, "mail_splits", lambda spark, sf, n=splits: n)
+        spark_queries._arriving(spark, sf_dir, 2)
+    # no file is written for a part without mails
+    assert [at_once for at_once, _ in seen] == [cores, 5 * cores]
+    assert seen[0][1] <= 2 * cores < seen[1][1] <= 10 * cores
+
+
+def test_a_delta_of_many_keys_is_written_by_several_tasks(spark, tmp_path):
+    table = merged.MergedTable(str(tmp_path / "many"), ["k"], [F.sum("n").alias("n")])
+    rows = spark.range(0, 400_000, 1, 8).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as inside a stream
+    try:
+        table.add(rows, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(glob.glob(f"{table.path}/delta/0/*.parquet")) > 1
+    assert table.read(spark, rows).agg(F.sum("n")).first()[0] == 400_000
