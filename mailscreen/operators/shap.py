@@ -2,7 +2,7 @@
 
 Every root-to-leaf path is an additive little game: the leaf value is reached if all
 features on the path fall into their intervals. The Shapley values of such a game have
-a closed form (a polynomial in the share of training weight that follows each interval),
+a closed form (an integral of a product of shares of training weight, a polynomial),
 so a mail's values are a sum over paths. What a path adds depends on a mail only by which intervals it
 falls into, so a table by pattern of intervals is worked out once, and mails look their
 values up. Both tables depend on the model alone, are bounded, and are broadcast; mails are
@@ -30,7 +30,8 @@ log = logging.getLogger(__name__)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CELLS = 200_000  # rows x paths handled at once
+_CELLS = 200_000  # rows x paths looked up at once
+_CELLS_WORKED_OUT = 20_000  # rows x paths worked out at once, in the processor's cache
 # numbers in the pattern tables, 64 MB broadcast; paths beyond are worked out per mail
 MOST_PATTERNS = 8_000_000
 
@@ -101,26 +102,22 @@ def _factors(hit: list[np.ndarray], share: np.ndarray) -> Iterator[np.ndarray]:
     paths; ``share`` is paths x depth.
     """
     depth = len(hit)
-    weights = [
-        math.factorial(k) * math.factorial(depth - 1 - k) / math.factorial(depth)
-        for k in range(depth)
-    ]
-    # coefficients, by number of features taken from the mail itself
-    poly = np.zeros((depth + 1, *hit[0].shape))
-    poly[0] = 1.0
+    # A feature's value is the integral over t from 0 to 1 of the product of the others'
+    # factors, t where the interval holds and else 0, plus (1 - t) times the share: a polynomial
+    # in t of degree depth - 1, for which so many Gauss points are exact.
+    points, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
+    totals = [np.zeros(h.shape) for h in hit]
+    for t, weight in zip((points + 1) / 2, weights / 2):
+        # all factors are positive, so one can be divided out again
+        outside = share * (1 - t)
+        factors = [outside[:, i] + t * h for i, h in enumerate(hit)]
+        product = np.full(hit[0].shape, weight)
+        for factor in factors:
+            product *= factor
+        for total, factor in zip(totals, factors):
+            total += product / factor
     for i in range(depth):
-        taken = np.where(hit[i], poly[:-1], 0.0)
-        poly *= share[:, i]
-        poly[1:] += taken
-    for i in range(depth):
-        stay = share[:, i]
-        # divide the feature's own factor out again
-        total = np.zeros(hit[i].shape)
-        carry = np.zeros(hit[i].shape)
-        for k in range(depth - 1, -1, -1):
-            carry = np.where(hit[i], poly[k + 1] - stay * carry, poly[k] / stay)
-            total += weights[k] * carry
-        yield (hit[i] - stay) * total
+        yield (hit[i] - share[:, i]) * totals[i]
 
 
 def pattern_table(group: PathGroup) -> np.ndarray:
@@ -159,7 +156,7 @@ def shap_values(
         for i in range(depth):
             order = np.argsort(feature[:, i], kind="stable")
             sums.append((order, *np.unique(feature[order, i], return_index=True)))
-        step = max(1, _CELLS // n_paths)
+        step = max(1, (_CELLS_WORKED_OUT if table is None else _CELLS) // n_paths)
         for start in range(0, len(x), step):
             rows = x[start : start + step]
             hit = []

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -259,6 +260,43 @@ def test_shap_against_brute_force():
         assert np.abs(shap.shap_values(x, groups, given) - expected).max() < 1e-12
 
 
+def by_polynomial(hit, share):
+    """Shapley factors by multiplying every path's polynomial out and dividing again."""
+    depth = len(hit)
+    weights = [math.factorial(k) * math.factorial(depth - 1 - k) / math.factorial(depth) for k in range(depth)]
+    poly = np.zeros((depth + 1, *hit[0].shape))
+    poly[0] = 1.0
+    for i in range(depth):
+        taken = np.where(hit[i], poly[:-1], 0.0)
+        poly *= share[:, i]
+        poly[1:] += taken
+    for i in range(depth):
+        total, carry = np.zeros(hit[i].shape), np.zeros(hit[i].shape)
+        for k in range(depth - 1, -1, -1):
+            carry = np.where(hit[i], poly[k + 1] - share[:, i] * carry, poly[k] / share[:, i])
+            total += weights[k] * carry
+        yield (hit[i] - share[:, i]) * total
+
+
+def test_deep_paths_without_tables_are_worked_out_in_fewer_steps():
+    rng = np.random.default_rng(2)
+    for depth in range(1, 16):
+        hit = [rng.random((50, 20)) < 0.5 for _ in range(depth)]
+        share = rng.uniform(0.3, 1, (20, depth))
+        for got, want in zip(shap._factors(hit, share), by_polynomial(hit, share)):
+            assert np.abs(got - want).max() < 1e-9
+    hit, share = [rng.random((100, 200)) < 0.5 for _ in range(10)], rng.uniform(0.05, 1, (200, 10))
+
+    def seconds(factors):
+        begun = time.perf_counter()
+        for _ in range(10):
+            list(factors(hit, share))
+        return time.perf_counter() - begun
+
+    seconds(shap._factors)
+    assert min(seconds(shap._factors) for _ in range(3)) < 0.7 * min(seconds(by_polynomial) for _ in range(3))
+
+
 def test_classify_with_trained_models_and_explanations(spark, mails, meta, text):
     model, _ = meta
     only = F.col("score_final") >= 0.5
