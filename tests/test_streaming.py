@@ -166,3 +166,20 @@ def test_a_delta_of_many_keys_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(glob.glob(f"{table.path}/delta/0/*.parquet")) > 1
     assert table.read(spark, rows).agg(F.sum("n")).first()[0] == 400_000
+
+
+def test_texts_are_not_shuffled_to_their_labels(spark, sf_dir, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def joined():
+            df = mail_tables.doc_mails(spark, sf_dir)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            return sorted(map(tuple, df.collect()), key=str), "SortMergeJoin" in plan
+
+        rows, shuffled = joined()
+        assert not shuffled
+        monkeypatch.setattr(mail_tables, "BROADCAST_LABELS", 10)
+        assert joined() == (rows, True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
