@@ -31,9 +31,10 @@ def score_stages(
     text_scorer: Scorer = HEURISTIC_TEXT,
     options: TextOptions = TextOptions(),
     keep: list[str] | None = None,
+    in_kernel: bool = False,
 ) -> DataFrame:
     """Feature columns, both scores, the gate flag and the unrounded final score."""
-    features = metadata_features(df, options, keep)
+    features = metadata_features(df, options, keep, in_kernel)
     meta = scoring.checked(meta_scorer, features, scoring.SCORE_META)
     gated = meta.withColumn(
         "gated", scoring.gate(F.col(scoring.SCORE_META), params.gate_threshold)
@@ -64,6 +65,7 @@ def classify(
     keep: list[str] | None = None,
     explainer=None,
     where: Column | str | None = None,
+    in_kernel: bool = False,
 ) -> DataFrame:
     """Prediction records for a frame with ``subject`` and ``body``.
 
@@ -71,6 +73,9 @@ def classify(
     stage, so it prunes partitions and row groups at the scan; a filter on the records stops
     at the stages (see ``session.settled``), which it must not repeat, and screens every mail.
 
+    ``in_kernel`` counts in the Arrow stage of the entropies, which is faster where all
+    features are wanted; without it, records without features need no such stage.
+
     ``explainer`` is a function that appends ``explanation_items`` (ordered array of
     feature and value) to the scored frame, for instance from
     :func:`mailscreen.operators.shap.explainer`; without one, explanations are null.
@@ -78,7 +83,7 @@ def classify(
     keep = [c for c in df.columns if c not in ("subject", "body")] if keep is None else keep
     if where is not None:
         df = df.filter(where)
-    scored = score_stages(df, params, meta_scorer, text_scorer, options, keep)
+    scored = score_stages(df, params, meta_scorer, text_scorer, options, keep, in_kernel)
     if explainer is not None and params.explain:
         scored = explainer(scored, params.top_k)
         items = F.when(F.size("explanation_items") > 0, F.col("explanation_items"))
