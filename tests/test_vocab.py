@@ -55,3 +55,36 @@ def test_weighing_builds_no_ngrams_as_strings(spark):
 def test_an_empty_vocabulary_weighs_nothing(spark):
     df = spark.createDataFrame([(1, "ab cd"), (2, "")], "i int, prepared_text string")
     assert [r.tfidf.indices for r in tfidf.TfIdf((), (), 2).weigh(df).collect()] == [[], []]
+
+
+@pytest.mark.parametrize("low, high", [(1, 1), (1, 2), (2, 3), (1, 4)])
+def test_all_terms_of_texts_and_of_word_lists(spark, low, high):
+    texts = _texts()
+    # keys repeat and may be null, and a mail counts its terms alone all the same
+    rows = [(None if i % 7 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "msg_id int, prepared_text string").coalesce(1)
+    params = TextModelParams(ngram_min=low, ngram_max=high)
+    words = df.select("msg_id", text.tokens(F.col("prepared_text")).alias(tfidf.WORDS))
+    grams = words.select("msg_id", tfidf.ngrams(F.col(tfidf.WORDS), low, high).alias("g")).collect()
+    expected = Counter((r.msg_id, t, n) for r in grams for t, n in Counter(r.g or []).items())
+    for mails in (df, words):
+        counted = tfidf.term_freq(mails, params=params)
+        assert counted.dtypes == [("msg_id", "int"), ("term", "string"), ("tf", "int")]
+        assert Counter(map(tuple, counted.collect())) == expected
+
+
+def test_terms_of_a_long_mail_come_in_parts(spark):
+    n = vocab._AT_ONCE + 10
+    long = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i)), " ")
+    df = spark.range(1, 3).coalesce(1).select(F.col("id").alias("msg_id"), long.alias("prepared_text"))
+    row = tfidf.term_freq(df).agg(
+        F.count("*").alias("rows"), F.countDistinct("msg_id", "term").alias("terms"), F.max("tf").alias("tf"),
+        F.count_if(F.col("term") == f"w{n - 1} w{n}").alias("last"),
+    ).first()
+    assert tuple(row) == (2 * (2 * n - 1), 2 * (2 * n - 1), 1, 2)
+
+
+def test_term_counts_need_no_strings_sorted_in_rows(spark):
+    df = spark.createDataFrame([(1, "ab cd")], "msg_id int, prepared_text string")
+    plan = tfidf.term_freq(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "sort_array" not in plan and "generate" not in plan.lower()
