@@ -59,6 +59,8 @@ def path_groups(nodes: DataFrame, n_trees: int) -> tuple[list[PathGroup], float]
         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     ).collect():
         trees.setdefault(r.treeID, {})[r.id] = r
+    if len(trees) != n_trees:
+        raise ValueError(f"read {len(trees)} of {n_trees} trees")
 
     by_depth: dict[int, list] = {}
     expected = 0.0
@@ -216,14 +218,15 @@ def explainer(model, spark: SparkSession, only: Column | None = None):
     """An explainer for :func:`mailscreen.plans.screen.classify`.
 
     ``only`` restricts the work to the rows one wants explained, say
-    ``F.col("score_final") >= 0.5``; other rows get no explanation. If the forest
-    cannot be read, scoring goes on without explanations.
+    ``F.col("score_final") >= 0.5``; other rows get no explanation. Without a forest
+    scoring goes on unexplained; a forest that cannot be read is an error, as records
+    without explanations would look like those of mails that nothing speaks against.
     """
-    try:
-        groups, _ = path_groups(node_table(model.forest, spark), model.forest.getNumTrees)
-    except Exception as error:  # an explanation must never break scoring
-        log.warning("no explanations: %s", error)
+    if model.forest is None:
+        log.warning("no explanations: the model has no forest")
         groups = None
+    else:
+        groups, _ = path_groups(node_table(model.forest, spark), model.forest.getNumTrees)
 
     def explain(scored: DataFrame, top_k: int) -> DataFrame:
         if groups is None:

@@ -326,6 +326,22 @@ def test_unreadable_forest_never_breaks_scoring(spark, mails, meta):
     assert {r.explanation for r in out.collect()} == {None}
 
 
+def test_explanations_that_fail_are_no_result(spark, meta):
+    class Unreadable:
+        class forest:
+            getNumTrees = 6
+
+            @staticmethod
+            def write():
+                raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        shap.explainer(Unreadable, spark)
+    nodes = shap.node_table(meta[0].forest, spark)
+    with pytest.raises(ValueError, match="5 of 6 trees"):
+        shap.path_groups(nodes.filter("treeID > 0"), 6)
+
+
 # ---------------------------------------------------------------- persistence
 
 
