@@ -379,3 +379,17 @@ def test_loading_checks_kind_version_and_features(spark, meta, text, tmp_path, m
         with pytest.raises(ValueError, match=r"added \['brand_new'\], removed \['subject_length'\]"):
             models.load_meta(spark, path)
     assert models.load_meta(spark, path).name == meta[0].name
+
+
+def test_model_info_names_the_heuristic_of_a_kind_without_a_model(spark, meta, text, tmp_path):
+    path, tpath = str(tmp_path / "m"), str(tmp_path / "t")
+    models.save_meta(meta[0], spark, path)
+    models.save_text(text, spark, tpath)
+
+    def told(*paths):
+        return {(r.kind, r.name, r.is_heuristic) for r in models.model_info(spark, list(paths)).collect()}
+
+    trained = {("meta", meta[0].name, False), ("text", text.name, False)}
+    assert told(path, tpath) == trained
+    assert told(path) == {("meta", meta[0].name, False), ("text", "heuristic_text_v1", True)}
+    assert told(tpath) == {("meta", "heuristic_meta_v1", True), ("text", text.name, False)}
