@@ -64,12 +64,12 @@ def saved_text_model_scores_alike(spark: SparkSession, sf: str) -> DataFrame:
 def shap_values_add_up(spark: SparkSession, sf: str) -> DataFrame:
     """Expectation plus all Shapley values is the forest's probability."""
     model = q.meta_model(spark, sf)
-    groups, expected = shap.path_groups(
+    trees, expected = shap.tree_paths(
         shap.node_table(model.forest, spark), model.forest.getNumTrees
     )
     frame = model.score(features.metadata_features(q.mails(spark, sf), keep=["msg_id"]))
     record = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in lx.FEATURES])
-    values = frame.select("score_meta", shap.shap_column(spark, groups)(record).alias("phi"))
+    values = frame.select("score_meta", shap.shap_column(spark, trees)(record).alias("phi"))
     total = F.aggregate("phi", F.lit(expected), lambda a, v: a + v)
     return _counted(values, F.abs(total - F.col("score_meta")) < CLOSE)
 

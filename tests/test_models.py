@@ -297,6 +297,54 @@ def test_deep_paths_without_tables_are_worked_out_in_fewer_steps():
     assert min(seconds(shap._factors) for _ in range(3)) < 0.7 * min(seconds(by_polynomial) for _ in range(3))
 
 
+def grown(rng, depth, held=None):
+    """Paths of a random tree in order of its leaves; features come again on a path."""
+    held = held or {}
+    if depth == 0 or (held and rng.random() < 0.1):
+        return [(held, rng.uniform(-1, 1))]
+    f = int(rng.integers(12))
+    low, high, share = held.get(f, (-math.inf, math.inf, 1.0))
+    edge = rng.integers(1, 40) / 40
+    kept = rng.uniform(0.1, 0.9)
+    paths = []
+    for bounds, part in (((low, min(high, edge)), kept), ((max(low, edge), high), 1 - kept)):
+        paths += grown(rng, depth - 1, {**held, f: (*bounds, share * part)})
+    return paths
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 9])
+def test_bundles_of_paths_add_what_their_paths_do(depth):
+    rng = np.random.default_rng(depth)
+    trees = [grown(rng, depth) for _ in range(4)] + [[]]
+    x = rng.integers(0, 41, (60, 12)) / 40  # on the edges, too
+    groups = shap.by_depth([p for tree in trees for p in tree])
+    expected = shap.shap_values(x, groups)
+    whole = shap.plan(trees)
+    assert not whole[2]
+    half = shap.plan(trees, sum(t.size for _, _, t in whole[1]) // 2)
+    none = shap.plan(trees, 0)
+    assert not none[1]
+    for planned in (whole, half, none):
+        assert np.abs(shap.planned_values(x, planned) - expected).max() < 1e-12
+
+
+def test_deep_forests_are_explained_in_fewer_steps():
+    rng = np.random.default_rng(6)
+    trees = [grown(rng, 9) for _ in range(12)]
+    groups = shap.by_depth([p for tree in trees for p in tree])
+    most = 20_000  # most paths have no table
+    tables, planned = shap.pattern_tables(groups, most), shap.plan(trees, most)
+    x = rng.random((1000, 12))
+
+    def seconds(work):
+        begun = time.perf_counter()
+        work()
+        return time.perf_counter() - begun
+
+    by_path = min(seconds(lambda: shap.shap_values(x, groups, tables)) for _ in range(2))
+    assert min(seconds(lambda: shap.planned_values(x, planned)) for _ in range(2)) < 0.5 * by_path
+
+
 def test_classify_with_trained_models_and_explanations(spark, mails, meta, text):
     model, _ = meta
     only = F.col("score_final") >= 0.5
@@ -318,6 +366,13 @@ def test_classify_with_trained_models_and_explanations(spark, mails, meta, text)
     assert any(r.explanation for r in rows)
 
 
+def test_mails_are_explained_once(spark, mails, meta):
+    frame = features.metadata_features(mails, keep=["msg_id"])
+    long = shap.shap_long(shap.explainer(meta[0], spark)(frame, 10))
+    assert long._jdf.queryExecution().executedPlan().toString().count("[shap_udf(") == 1
+    assert long.filter("rank = 1").count() > 0
+
+
 def test_unreadable_forest_never_breaks_scoring(spark, mails, meta):
     class Broken:
         forest = None
