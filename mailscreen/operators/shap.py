@@ -247,6 +247,16 @@ def _product(terms: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+def _gained(product: np.ndarray, gains: list[np.ndarray]) -> np.ndarray:
+    """A product of factors with each in turn replaced by its gain, below each other."""
+    after, width = product.shape
+    out = [np.empty((0, width))]
+    for gain in gains:
+        after //= len(gain)
+        out.append((product.reshape(-1, len(gain), after, width) * gain[:, None]).reshape(-1, width))
+    return np.concatenate(out)
+
+
 class Ranges:
     """The ranges between the edges of all intervals, by feature.
 
@@ -309,46 +319,46 @@ class Bundle:
 
     def _games(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict, dict]:
         """Gauss points, weights, leaf values, and for each feature, by class, point and path,
-        its factors (see _factors) and its gains of the interval over the share."""
+        its factors (see _factors) and the gain of the interval over the share, by factor."""
         points, weights = _gauss(max(len(held) for held, _ in self.paths))
-        factors, gains = {}, {}
+        hit, share, ends = [], [], []
         for f, bounds in self.bounds.items():
             # a feature that is not on a path always holds there and has all of the weight
             own = [held.get(f, _EVERYWHERE) for held, _ in self.paths]
-            hit = np.array([_classes(bounds)[2][b] for b in own]).T[:, None]
-            share = np.array([b[2] for b in own])
-            flat = (hit.shape[0], -1)
-            factors[f] = (share * (1 - points) + points * hit).reshape(flat)
-            gains[f] = (hit - share + 0 * points).reshape(flat)
+            inside, n_classes = _classes(bounds)[2:]
+            hit += zip(*(inside[b] for b in own))
+            share += [[b[2] for b in own]] * n_classes
+            ends.append(len(hit))
+        hit, share = (np.array(a, dtype=float)[:, None] for a in (hit, share))
+        factors = share * (1 - points) + points * hit
+        gains = (hit - share) / factors
+        factors, gains = (
+            dict(zip(self.bounds, np.split(a.reshape(len(a), -1), ends))) for a in (factors, gains)
+        )
         return points, weights, np.array([value for _, value in self.paths]), factors, gains
 
     def table(self, ranges: Ranges) -> Table:
         """Features, places, and Shapley values by feature and pattern."""
-        points, weights, leaf, factors, gains = self._games()
+        _, weights, leaf, factors, gains = self._games()
         weighed = (weights * leaf).ravel()
         # a pattern is one of the first features and one of the others
-        half = len(factors) // 2
-        sides = list(factors)[:half], list(factors)[half:]
-        first, rest = (_product([factors[f] for f in side], weighed.size) for side in sides)
-        rows = []
-        for side in sides:
-            for k in side:
-                own = _product([(gains if f == k else factors)[f] for f in side], weighed.size)
-                value = (own * weighed) @ rest.T if side is sides[0] else first @ (own * weighed).T
-                rows.append(value.ravel())
-        return list(factors), ranges.places(list(factors), self.bounds), np.stack(rows)
+        features, half = list(self.bounds), len(self.bounds) // 2
+        first, rest = features[:half], features[half:]
+        of_first, of_rest = (_product([factors[f] for f in s], weighed.size) for s in (first, rest))
+        values = _gained(of_rest, [gains[f] for f in rest]) * weighed @ of_first.T
+        rows = values.reshape(len(rest), -1, len(of_first)).transpose(0, 2, 1).reshape(len(rest), -1)
+        if first:
+            values = _gained(of_first, [gains[f] for f in first]) @ (of_rest * weighed).T
+            rows = np.concatenate([values.reshape(half, -1), rows])
+        return features, ranges.places(features, self.bounds), np.ascontiguousarray(rows)
 
     def stem(self, ranges: Ranges) -> Stem:
         """Factors of what all paths share, and sums over the paths of the rest, by Gauss point."""
         points, weights, leaf, factors, gains = self._games()
         n_points, n_paths = len(points), len(leaf)
-
-        def by_point(terms: list[np.ndarray]) -> np.ndarray:
-            return _product(terms, n_points * n_paths).reshape(-1, n_points, n_paths)
-
-        sums = [by_point([factors[f] for f in self.others]) @ leaf]
-        for k in self.others:
-            sums.append(by_point([(gains if f == k else factors)[f] for f in self.others]) @ leaf)
+        product = _product([factors[f] for f in self.others], n_points * n_paths)
+        sums = np.concatenate([product, _gained(product, [gains[f] for f in self.others])])
+        sums = sums.reshape(len(self.others) + 1, -1, n_points, n_paths) @ leaf
         # of two halves, as patterns of all would be too many. A shared feature's gain over its
         # factor is the same for all whose interval does not hold; slopes tell it, and what is
         # added where one holds
@@ -365,7 +375,7 @@ class Bundle:
                 holds.append(ranges.told(f, self.bounds[f], inside, bool))
             halves.append((side, holds, np.ascontiguousarray(_product(terms, n_points).T)))
         places = ranges.places(self.others, self.bounds, np.int32)
-        table = np.ascontiguousarray(np.stack(sums).transpose(0, 2, 1))
+        table = np.ascontiguousarray(sums.transpose(0, 2, 1))
         return halves, (self.others, places, table), weights, np.stack(slopes)
 
 
@@ -396,7 +406,8 @@ def bundles(
 def plan(trees: list[list[Path]], most: int = MOST_PATTERNS) -> Plan:
     """Tables of up to ``most`` numbers in all, of bundles as large as that allows, and stems."""
     ranges = Ranges(trees)
-    limit = _BUNDLE
+    # larger bundles than these hardly ever fit
+    limit = min(_BUNDLE, 6 * most // max(1, sum(map(len, trees))))
     found = bundles(trees, limit, Bundle.numbers)
     while limit and sum(Bundle.numbers(b.bounds) for b in found) > most:
         limit = limit >> 1 if limit > 1024 else 0
